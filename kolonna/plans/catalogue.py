@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from kolonna.plans import upkeep
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {} | upkeep.QUERIES
+ORACLES: dict[str, str] = {} | upkeep.ORACLES
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
