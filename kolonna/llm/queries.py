@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kolonna.llm import distinct, percentiles
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 
-def query(sql: str | None = None) -> Callable:
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from kolonna.llm import distinct, overlaps, percentiles
+from kolonna.plans.registry import Registry, table
 
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 NAMED = "site_id <> '' and date <> ''"
 
@@ -84,3 +67,29 @@ def p2_distinct_cube(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct ads of each (site, date), site, date and of everything, all from the same partial results."""
     sets = [["site_id", "date"], ["site_id"], ["date"], []]
     return distinct.distinct_estimates(distinct.merge_bitmaps_cube(site_date_bitmaps(spark, folder), ["site_id", "date"], sets))
+
+
+# --- overlaps ----------------------------------------------------------------------------------------------------------
+
+AUDIENCE = "site_id <> '' and token <> '' and token <> '0000000000000000'"
+PAIRS = f"""
+    with a as (select distinct site_id, token from (select site_id, token from impressions union all select site_id, token from pix) where {AUDIENCE}),
+    n as (select site_id, count(*) as n from a group by site_id having count(*) >= 40),
+    b as (select site_id, token, n from a join n using (site_id)),
+    p as (select x.site_id as site_id_a, y.site_id as site_id_b, x.n as size_a, y.n as size_b, count(*) as shared from b x join b y on x.token = y.token and x.site_id < y.site_id group by all)
+    select {{}} from p where shared >= 0.25 * size_a and shared >= 0.25 * size_b"""
+
+
+def audience_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    audience = table(spark, folder, "impressions").select("site_id", "token").unionByName(table(spark, folder, "pix").select("site_id", "token"))
+    return overlaps.set_overlaps(audience.where(AUDIENCE), "site_id", "token", 0.25, 40).withColumnsRenamed({"set_a": "site_id_a", "set_b": "site_id_b"})
+
+
+@query(PAIRS.format("site_id_a, site_id_b"))
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return audience_overlaps(spark, folder).select("site_id_a", "site_id_b")
+
+
+@query(PAIRS.format("*"))
+def p4_overlap_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return audience_overlaps(spark, folder)
