@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonna.llm import distinct, overlaps, percentiles
+from kolonna.llm import distinct, leaks, overlaps, percentiles
 from kolonna.plans.registry import Registry, table
 
 query = Registry()
@@ -93,3 +93,35 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 @query(PAIRS.format("*"))
 def p4_overlap_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return audience_overlaps(spark, folder)
+
+
+# --- leaked evaluation passages ----------------------------------------------------------------------------------------
+
+PLAIN = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+LEAKS = f"""
+    with w as (select item_id, string_split({PLAIN}, ' ') as w from eval_items),
+    g as (select item_id, w, unnest(range(1, len(w) - 10)) as i from w),
+    grams as (select distinct item_id, ' ' || array_to_string(w[i:i + 11], ' ') || ' ' as gram from g),
+    d as (select doc_id, ' ' || {PLAIN} || ' ' as t from documents),
+    leaks as (select distinct doc_id, item_id from d join grams on contains(t, gram))"""
+
+
+def leaked(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query(f"{LEAKS} select * from leaks")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked(spark, folder).select("doc_id", "item_id")
+
+
+@query()
+def p7_longest_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest verbatim match of each affected document and item, and where it begins."""
+    return leaked(spark, folder)
+
+
+@query(f"{LEAKS} select doc_id, lang, source, n_chars from documents where doc_id not in (select doc_id from leaks)")
+def p7_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of the corpus once every affected document is removed."""
+    return leaks.without_leaks(table(spark, folder, "documents"), leaked(spark, folder)).select("doc_id", "lang", "source", "n_chars")
