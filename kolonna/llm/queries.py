@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonna.llm import distinct, leaks, overlaps, percentiles
+from kolonna.llm import distinct, leaks, overlaps, percentiles, spans
 from kolonna.plans.registry import Registry, table
 
 query = Registry()
@@ -125,3 +125,37 @@ def p7_longest_matches(spark: SparkSession, folder: str) -> DataFrame:
 def p7_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of the corpus once every affected document is removed."""
     return leaks.without_leaks(table(spark, folder, "documents"), leaked(spark, folder)).select("doc_id", "lang", "source", "n_chars")
+
+
+# --- shared spans ------------------------------------------------------------------------------------------------------
+
+WINDOWS = """
+    with s as (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300),
+    w as (select doc_id, i, hash(substr(text, i, 300)) as h from s),
+    d as (select distinct doc_id, h from w),
+    many as (select h from d group by h having count(*) > 1)"""
+
+
+def windows(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_windows(table(spark, folder, "documents"))
+
+
+@query(f"""{WINDOWS}, m as (select d.* from d join many using (h))
+    select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from m x join m y on x.h = y.h and x.doc_id < y.doc_id""")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_pairs(windows(spark, folder))
+
+
+@query(f"""{WINDOWS}, p as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w where h in (select h from many)),
+    c as (select doc_id, sum(least(300, coalesce(i - before, 300))) as n, count(*) filter (before is null or i - before > 300) as stretches from p group by doc_id)
+    select doc_id, length(text) as chars, cast(coalesce(n, 0) as bigint) as shared_chars, coalesce(stretches, 0) as stretches, case when length(text) > 0 then coalesce(n, 0) / length(text) else 0.0 end as share
+    from documents left join c using (doc_id)""")
+def p8_shared_share(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document also stands elsewhere."""
+    return spans.shared_shares(table(spark, folder, "documents"), windows(spark, folder))
+
+
+@query()
+def p8_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of each document that also stand elsewhere."""
+    return spans.shared_stretches(windows(spark, folder))
