@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonna.llm import distinct, leaks, overlaps, percentiles, spans
+from kolonna.llm import distinct, leaks, overlaps, packing, percentiles, spans
 from kolonna.plans.registry import Registry, table
 
 query = Registry()
@@ -95,6 +95,36 @@ def p4_overlap_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return audience_overlaps(spark, folder)
 
 
+# --- containers --------------------------------------------------------------------------------------------------------
+
+CAPACITY, TOKENS = 6000, 2048
+
+
+@query(f"select doc_id from documents where octet_length(encode(text)) > {CAPACITY}")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), CAPACITY, packing.byte_counter)
+    return packed.where(f"piece = 0 and doc_size > {CAPACITY}").select("doc_id")
+
+
+def token_containers(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    counter = packing.bpe_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, folder, "documents"), TOKENS, counter)
+
+
+@query()
+def p6_token_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, in tokens of a public tokenizer, and its container."""
+    return token_containers(spark, folder)
+
+
+@query()
+def p6_token_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full each container is."""
+    return packing.container_fill(token_containers(spark, folder), TOKENS)
+
+
 # --- leaked evaluation passages ----------------------------------------------------------------------------------------
 
 PLAIN = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
