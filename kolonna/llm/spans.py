@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 
 from kolonna.runtime import chunks, materialize, shuffle_partitions
 
-K, M = 300, 24
+K, M = 300, 128
 #: Bytes of text that a task works on at once; windows in one string at most.
 CHUNK_BYTES, RUN = 4 << 20, 4096
 #: Strings of a bucket that are gathered; share of all strings from which a minimiser is hot; bits of the bitmap at most.
-CROWD, HOT, MAX_BITS = 512, 10_000, 1 << 28
+CROWD, HOT, MAX_BITS = 4096, 10_000, 1 << 28
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
