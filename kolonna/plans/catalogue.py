@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kolonna.plans import relational, storage, upkeep
+from kolonna.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from kolonna.plans import upkeep
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {} | upkeep.QUERIES
-ORACLES: dict[str, str] = {} | upkeep.ORACLES
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+flagship = relational.flagship
+QUERIES: dict[str, Query] = relational.QUERIES | storage.QUERIES | upkeep.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | storage.ORACLES | upkeep.ORACLES
