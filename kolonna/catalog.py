@@ -166,16 +166,16 @@ class Catalog:
     def partitions(self, table: Table | str) -> list[str]:
         """The values of the partition column that hold rows."""
         table = self.open(table) if isinstance(table, str) else table
-        if table.partition is None:
+        if table._partition is None:
             return []
-        mark = f"{table.partition}="
-        return sorted(self._unescaped(n[len(mark) :]) for n in self.files.names(f"{self.location(table.name)}/data", True) if n.startswith(mark))
+        mark = f"{table._partition}="
+        return sorted(self._unescaped(n[len(mark) :]) for n in self.files.names(f"{self.location(table._name)}/data", True) if n.startswith(mark))
 
     def delete(self, what: Table | Predicate) -> list[str]:
         """Delete all rows, or the partitions that a condition on the partition column alone selects; the definition stays."""
         if isinstance(what, Table):
             values = self.partitions(what)
-            self.files.delete(f"{self.location(what.name)}/data")
+            self.files.delete(f"{self.location(what._name)}/data")
             return values
         if not isinstance(what, Predicate):
             raise ValueError("delete takes a table or a condition")
@@ -185,17 +185,17 @@ class Catalog:
         values = self.partitions(table)
         if not values:
             return []
-        listing = self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(table.partition, T.StringType())]))
+        listing = self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(table._partition, T.StringType())]))
         gone = [r[0] for r in listing.where(what.spark(lambda n: F.col(_q(n)))).collect()]
         for value in gone:
-            self.files.delete(self.location(table.name, value, table.partition))
+            self.files.delete(self.location(table._name, value, table._partition))
         return sorted(gone)
 
     def drop(self, table: Table) -> None:
         """Delete rows and definition."""
         if not isinstance(table, Table):
             raise ValueError("drop takes a table")
-        self.files.delete(self.location(table.name))
+        self.files.delete(self.location(table._name))
 
 
 def _catalog(spark: SparkSession | None = None) -> Catalog:
@@ -239,7 +239,7 @@ def partitions(table: Table | str) -> None:
 def describe(table: Table | str, index_only: bool = False) -> list[str]:
     """Sorted descriptions of a table's columns."""
     table = _catalog().open(table) if isinstance(table, str) else table
-    return sorted(f.description for f in table.fields if f.index or not index_only)
+    return sorted(f.description for f in table._fields if f.index or not index_only)
 
 
 def schema(table: Table | str, index_only: bool = False) -> None:

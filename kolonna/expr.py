@@ -40,7 +40,7 @@ class Column:
 
     @property
     def fullname(self) -> str:
-        return f"{self.table.name}.{self.label}"
+        return f"{self.table._name}.{self.label}"
 
     @property
     def tables(self) -> list[Table]:
@@ -150,7 +150,7 @@ class Predicate:
 
     @property
     def name(self) -> str:
-        return self.table.name
+        return self.table._name
 
 
 class Comparison(Predicate):
@@ -215,8 +215,8 @@ class _Combined(Predicate):
         for side in (left, right):
             if not isinstance(side, Predicate):
                 raise TypeError(f"{side!r} is not a condition")
-        if left.table is not right.table and left.table.name != right.table.name:
-            raise ValueError(f"a condition speaks of one table, not of {left.table.name} and {right.table.name}")
+        if left.table is not right.table and left.table._name != right.table._name:
+            raise ValueError(f"a condition speaks of one table, not of {left.table._name} and {right.table._name}")
         self.table, self.left, self.right = left.table, left, right
 
     @property

@@ -53,10 +53,10 @@ def resolve_join(where: list[Source], join: Any) -> list[Column]:
     for part, source in zip(parts, where):
         if isinstance(part, Column):
             columns.append(part)
-        elif part in _table_of(source).columns:
+        elif part in _table_of(source)._columns:
             columns.append(_table_of(source)[part])
         else:
-            raise ValueError(f"table {_table_of(source).name} has no column {part}")
+            raise ValueError(f"table {_table_of(source)._name} has no column {part}")
     return columns
 
 
@@ -65,7 +65,7 @@ def check_query(project: list[Item], join: list[Column], order_by: list, limit:
     if not where:
         raise ValueError("where takes at least one table or condition")
     tables = [_table_of(w) for w in where]
-    names = [t.name for t in tables]
+    names = [t._name for t in tables]
     for name in names:
         if names.count(name) > 1:
             raise ValueError(f"table {name} stands twice in where; nest a query to use it again")
@@ -76,7 +76,7 @@ def check_query(project: list[Item], join: list[Column], order_by: list, limit:
         if not isinstance(item, (Column, Aggregation)):
             raise ValueError(f"{item!r} is neither a column nor an aggregation")
         column = item if isinstance(item, Column) else item.column
-        if column is not None and column.table.name not in names:
+        if column is not None and column.table._name not in names:
             raise ValueError(f"{item.fullname} is of a table that where does not name")
         if item.fullname in seen:
             raise ValueError(f"{item.fullname} is selected twice")
@@ -87,10 +87,10 @@ def check_query(project: list[Item], join: list[Column], order_by: list, limit:
         if len(join) != 2:
             raise ValueError(f"a join takes two columns, not {len(join)}")
         left, right = join
-        if left.table.name == right.table.name:
+        if left.table._name == right.table._name:
             raise ValueError("both join columns are of one table")
         for c in join:
-            if c.table.name not in names:
+            if c.table._name not in names:
                 raise ValueError(f"join column {c.fullname} is of a table that where does not name")
         if left.field.family != right.field.family:
             raise ValueError(f"join columns differ in type: {left.field.family} and {right.field.family}")
@@ -219,7 +219,7 @@ def select(
             raise ValueError(f"there is a table {tag} already")
         held.save(tag, frame)
         frame = held.open(tag).frame
-    name = tag or f"nested_{'_'.join(_table_of(s).name for s in sources)[:40]}_{uuid.uuid4().hex[:6]}"
+    name = tag or f"nested_{'_'.join(_table_of(s)._name for s in sources)[:40]}_{uuid.uuid4().hex[:6]}"
 
     def result(rows: DataFrame) -> QueryResult | Table:
         return Table.from_frame(name, rows) if nest else QueryResult(rows)
@@ -265,7 +265,7 @@ def _side(source: Source, number: int) -> tuple[DataFrame, Callable[[str], Spark
     if isinstance(source, Predicate):
         frame = source.restrict(frame, _q)
     known = set(frame.columns)
-    frame = frame.select(*[_q(f.name).alias(f"{number}.{f.name}") for f in table.fields if f.name in known])
+    frame = frame.select(*[_q(f.name).alias(f"{number}.{f.name}") for f in table._fields if f.name in known])
     return frame, lambda name: _q(f"{number}.{name}")
 
 
@@ -273,19 +273,19 @@ def declare(sources: list[Source], items: list[Item], join: list[Column], full_j
     """The DataFrame of a checked query."""
     tables = [_table_of(s) for s in sources]
     sides = [_side(s, i) for i, s in enumerate(sources)]
-    place = {t.name: i for i, t in enumerate(tables)}
+    place = {t._name: i for i, t in enumerate(tables)}
 
     def value(item: Item) -> SparkColumn:
         column = item if isinstance(item, Column) else item.column
         if column is None:
             return F.lit(1)
-        return column.spark(sides[place[column.table.name]][1])
+        return column.spark(sides[place[column.table._name]][1])
 
     def typed(item: Item, owner: int) -> SparkColumn:
         column = item if isinstance(item, Column) else item.column
-        if column is None or column.table.name == tables[owner].name:
+        if column is None or column.table._name == tables[owner]._name:
             return value(item)
-        return F.lit(None).cast(sides[place[column.table.name]][0].select(value(item)).schema[0].dataType)
+        return F.lit(None).cast(sides[place[column.table._name]][0].select(value(item)).schema[0].dataType)
 
     inner = [f"_{i}" for i in range(len(items))]
     if len(sides) == 1 or join or full_join:
@@ -296,7 +296,7 @@ def declare(sources: list[Source], items: list[Item], join: list[Column], full_j
             for other, _ in sides[1:]:
                 base = base.crossJoin(other)
         else:
-            ends = [c.spark(sides[place[c.table.name]][1]) for c in join]
+            ends = [c.spark(sides[place[c.table._name]][1]) for c in join]
             base = sides[0][0].join(sides[1][0], ends[0] == ends[1])
         rows = base.select(*[value(item).alias(n) for item, n in zip(items, inner)])
     else:

@@ -16,10 +16,10 @@ def stat(where: Table | Predicate, limit: int | None = None) -> dict[str, int]:
     """
     table = where.table if isinstance(where, Predicate) else where
     frame = where.restrict(table.frame, lambda n: F.col(f"`{n}`")) if isinstance(where, Predicate) else table.frame
-    indexed = [f.name for f in table.fields if f.index]
-    part = F.col(f"`{table.partition}`") if table.partition else F.lit("")
+    indexed = [f.name for f in table._fields if f.index]
+    part = F.col(f"`{table._partition}`") if table._partition else F.lit("")
     pairs = frame.select(part.alias("_part"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(indexed)])
-    if limit is not None and table.partition:
+    if limit is not None and table._partition:
         first = pairs.select("_part").distinct().orderBy("_part").limit(limit)
         pairs = pairs.join(first, "_part", "left_semi")
     counts = pairs.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(f"c{i}").alias(f"d{i}") for i in range(len(indexed))])

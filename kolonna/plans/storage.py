@@ -108,7 +108,7 @@ def partitions_list(spark: SparkSession, folder: str) -> DataFrame:
 def _stored_lineitem(spark: SparkSession, folder: str) -> tuple[Table, Catalog]:
     source = lineitem(spark, folder)
     catalog = Catalog(spark, scratch_path(spark, "warehouse"))
-    made = catalog.create("li", fields=source.fields, partition="ship_month")
+    made = catalog.create("li", fields=source._fields, partition="ship_month")
     held = overrides.get("warehouse")
     overrides["warehouse"] = catalog.root
     try:

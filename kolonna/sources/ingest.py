@@ -109,7 +109,7 @@ def insert(
     """
     spark = spark or SparkSession.active()
     catalog = Catalog(spark)
-    fields, names = table.fields, [f.name for f in table.fields]
+    fields, names = table._fields, [f.name for f in table._fields]
     decode = decoder or json_decoder
     if frame is not None:
         frame = preprocess(frame) if preprocess is not None else frame
@@ -130,7 +130,7 @@ def insert(
             else:
                 done = _append(catalog, table, converted_frame(_records(spark, batch, names, decode, preprocess), fields), partition_filter)
             rows, rejected, files = rows + done.rows, rejected + done.rejected, files + done.files
-    return Inserted(table.name, rows, files, rejected)
+    return Inserted(table._name, rows, files, rejected)
 
 
 def text_lines(spark: SparkSession, file: str | list[str], header: bool = False) -> DataFrame:
@@ -178,17 +178,20 @@ def _records(spark: SparkSession, batch: list, names: list[str], decode: Callabl
 
 
 def _append(catalog: Catalog, table: Table, rows: DataFrame, partition_filter: Any) -> Inserted:
-    if partition_filter is not None and table.partition is not None:
+    if partition_filter is not None and table._partition is not None:
         single = isinstance(partition_filter, str) or not hasattr(partition_filter, "__iter__")
         wanted = [str(v) for v in ([partition_filter] if single else partition_filter)]
-        rows = rows.where(F.col(BROKEN) | (F.col(_q(table.partition)).isin(wanted) if wanted else F.lit(False)))
+        rows = rows.where(F.col(BROKEN) | (F.col(_q(table._partition)).isin(wanted) if wanted else F.lit(False)))
     seen = Observation()
     good = rows.observe(seen, F.count(F.when(~F.col(BROKEN), 1)).alias("rows"), F.count(F.when(F.col(BROKEN), 1)).alias("rejected")).where(~F.col(BROKEN)).drop(BROKEN)
-    data = f"{catalog.location(table.name)}/data"
+    data = f"{catalog.location(table._name)}/data"
     before = catalog.files.files(data)
+    if table._partition is not None:
+        # one well-sized file a partition instead of one a task and partition; AQE splits partitions that are too large for that
+        good = good.hint("rebalance", table._partition)
     writer = good.write.mode("append").option("compression", "zstd")
-    if table.partition is not None:
-        writer = writer.partitionBy(table.partition)
+    if table._partition is not None:
+        writer = writer.partitionBy(table._partition)
     writer.parquet(data)
     counted = seen.get
-    return Inserted(table.name, counted["rows"], sorted(catalog.files.files(data) - before), counted["rejected"])
+    return Inserted(table._name, counted["rows"], sorted(catalog.files.files(data) - before), counted["rejected"])

@@ -22,10 +22,10 @@ def follow(spark: SparkSession, table: Table, folder: str, checkpoint: str, deco
     Spark's checkpoint says which files are done; a batch that was appended before a failure is marked and not appended again. Lines that can not be decoded or
     converted are left out. ``once`` loads what is there and ends.
     """
-    names = [f.name for f in table.fields]
+    names = [f.name for f in table._fields]
     lines = spark.readStream.schema(T.StructType([T.StructField(LINE, T.StringType())])).text(folder)
-    rows = _decoded(lines, names, decoder or json_decoder, preprocess, table.fields)
-    data = f"{Catalog(spark).location(table.name)}/data"
+    rows = _decoded(lines, names, decoder or json_decoder, preprocess, table._fields)
+    data = f"{Catalog(spark).location(table._name)}/data"
 
     def append(batch: DataFrame, number: int) -> None:
         # Spark runs a batch again after a failure
@@ -35,7 +35,7 @@ def follow(spark: SparkSession, table: Table, folder: str, checkpoint: str, deco
         files = Catalog(spark).files
         if files.exists(done):
             return
-        (writer.partitionBy(table.partition) if table.partition else writer).parquet(data)
+        (writer.partitionBy(table._partition) if table._partition else writer).parquet(data)
         files.write(done, "")
 
     stream = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)

@@ -12,30 +12,33 @@ from kolonna.schema import Field, derived_field, parse_fields
 
 
 class Table:
-    """A named relation of a fixed schema. Its columns are attributes (``table.ad_id``) and items (``table["ad_id"]``)."""
+    """A named relation of a fixed schema. Its columns are attributes (``table.ad_id``) and items (``table["ad_id"]``).
+
+    A column that is named like a method (``frame``, ``dumps``, ``loads``, ``from_frame``, ``from_parquet``) is reached as an item.
+    """
 
     def __init__(self, name: str, fields: Iterable[str | Field], partition: str | None = None, source: DataFrame | Callable[[], DataFrame] | None = None, location: str | None = None) -> None:
-        self.name = name
-        self.fields = parse_fields(fields, partition)
-        self.partition = partition
-        self.location = location
+        self._name = name
+        self._fields = parse_fields(fields, partition)
+        self._partition = partition
+        self._location = location
         self._source = source
-        self.columns = {f.name: Column(self, f) for f in self.fields}
+        self._columns = {f.name: Column(self, f) for f in self._fields}
 
     def __getattr__(self, name: str) -> Column:
-        columns = self.__dict__.get("columns")
+        columns = self.__dict__.get("_columns")
         if columns is None or name not in columns:
-            raise AttributeError(f"table {self.__dict__.get('name')} has no column {name}")
+            raise AttributeError(f"table {self.__dict__.get('_name')} has no column {name}")
         return columns[name]
 
     def __getitem__(self, name: str) -> Column:
-        return self.columns[name]
+        return self._columns[name]
 
     @property
     def frame(self) -> DataFrame:
         """All rows, lazily."""
         if self._source is None:
-            raise ValueError(f"table {self.name} has no data attached")
+            raise ValueError(f"table {self._name} has no data attached")
         return self._source() if callable(self._source) else self._source
 
     @classmethod
@@ -51,12 +54,12 @@ class Table:
 
     def __iter__(self) -> Iterator[tuple]:
         """All rows as tuples, partition by partition."""
-        for row in self.frame.select(*["`" + f.name.replace("`", "``") + "`" for f in self.fields]).toLocalIterator():
+        for row in self.frame.select(*["`" + f.name.replace("`", "``") + "`" for f in self._fields]).toLocalIterator():
             yield tuple(row)
 
     def dumps(self) -> str:
         """The handle as JSON: name, fields, partition and where the rows are stored."""
-        return json.dumps({"name": self.name, "fields": [f.to_json() for f in self.fields], "partition": self.partition, "location": self.location})
+        return json.dumps({"name": self._name, "fields": [f.to_json() for f in self._fields], "partition": self._partition, "location": self._location})
 
     @classmethod
     def loads(cls, text: str, spark: SparkSession | None = None) -> Table:
@@ -72,9 +75,9 @@ class Table:
         return cls(held["name"], fields, held["partition"], source, held["location"])
 
     def __repr__(self) -> str:
-        return f"<table {self.name}: {', '.join(f.description for f in self.fields)}>"
+        return f"<table {self._name}: {', '.join(f.description for f in self._fields)}>"
 
 
 def star(table: Table) -> list[Column]:
     """All columns of a table in the order of its declaration."""
-    return [table.columns[f.name] for f in table.fields]
+    return [table._columns[f.name] for f in table._fields]
