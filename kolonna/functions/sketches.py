@@ -11,6 +11,10 @@ from kolonna.functions.aggregates import LOG2_REGISTERS
 from kolonna.runtime import free_name
 
 
+#: Parts of a group that are cut down on their own.
+PARTS = 64
+
+
 def _q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -39,7 +43,7 @@ def hll_intersection(left: Column, right: Column, log2_registers: int = LOG2_REG
 def hash_sample(df: DataFrame, keys: list[str], column: str, capacity: int, greatest: bool = True) -> DataFrame:
     """The keys and ``sample``: the ``capacity`` greatest (or least) different 64-bit hashes of the column's values, in that order.
 
-    Null values are left out. The rank is limited in each task before the shuffle, so a hot group sends at most ``capacity`` hashes a task.
+    Null values are left out. A hot group is first cut down in ``PARTS`` parts by hash, so no task ranks more of it than its part.
     """
     h, rank, sample = (free_name(n, keys) for n in ("h", "rank", "sample"))
     hashes = df.where(_q(column).isNotNull()).select(*[_q(k) for k in keys], F.xxhash64(_q(column)).alias(h)).distinct()
@@ -48,8 +52,10 @@ def hash_sample(df: DataFrame, keys: list[str], column: str, capacity: int, grea
 
 def _top(hashes: DataFrame, keys: list[str], h: str, rank: str, sample: str, capacity: int, greatest: bool) -> DataFrame:
     order = F.desc(h) if greatest else F.asc(h)
-    ranked = hashes.withColumn(rank, F.row_number().over(Window.partitionBy(*[_q(k) for k in keys] or [F.lit(0)]).orderBy(order))).where(F.col(rank) <= capacity)
-    return ranked.groupBy(*[_q(k) for k in keys]).agg(F.sort_array(F.collect_list(h), asc=not greatest).alias(sample))
+    by = [_q(k) for k in keys]
+    for parts in ([*by, F.col(h).bitwiseAND(F.lit(PARTS - 1))], by or [F.lit(0)]):
+        hashes = hashes.withColumn(rank, F.row_number().over(Window.partitionBy(*parts).orderBy(order))).where(F.col(rank) <= capacity).drop(rank)
+    return hashes.groupBy(*[_q(k) for k in keys]).agg(F.sort_array(F.collect_list(h), asc=not greatest).alias(sample))
 
 
 def merge_samples(samples: DataFrame, keys: list[str], capacity: int, greatest: bool = True) -> DataFrame:

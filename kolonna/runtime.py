@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -22,8 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/kolonna/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is there goes when this process ends, or by :func:`release`."""
+    if not _scratch:
+        atexit.register(release)
+    path = f"{shared_dir(spark)}/kolonna/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def release() -> None:
+    """Delete every scratch path of this process. Results that are still to be read from them must be read before."""
+    spark = SparkSession.getActiveSession()
+    while _scratch and spark is not None:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_scratch[-1])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session is gone: nothing can be deleted any more
+            return
+        _scratch.pop()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
