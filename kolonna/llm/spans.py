@@ -183,8 +183,15 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         of, offset, x, y = string_windows(table.column("string").to_pylist(), k)
         doc = table.column("doc").combine_chunks().dictionary_encode()
         code = doc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.lexsort((code[of], y, x))
-        xs, ys, ds = x[order], y[order], code[of][order]
+        # one sort by the first hash; only windows that have an equal there are sorted in full
+        order = np.argsort(x)
+        xs = x[order]
+        like = xs[1:] == xs[:-1]
+        order = order[np.r_[like, False] | np.r_[False, like]]
+        if not len(order):
+            return
+        order = order[np.lexsort((code[of[order]], y[order], x[order]))]
+        xs, ys, ds = x[order], y[order], code[of[order]]
         new = np.r_[True, (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])]
         other = new | np.r_[True, ds[1:] != ds[:-1]]  # first of its document in the window
         group = np.cumsum(new) - 1
@@ -235,9 +242,11 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 table = table.slice(0, last)
             if rows.any():
                 yield from as_windows(table.filter(pa.array(rows)))
+            # a string alone in its bucket came through the bitmap by chance
+            rows |= np.repeat(size == 1, size)[: len(rows)]
             if len(rows) and not rows.all():
                 yield from gather(table.filter(pa.array(~rows)))
-        if carry is not None:
+        if carry is not None and carry.num_rows > 1:
             yield from gather(carry)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
