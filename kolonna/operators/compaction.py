@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolonna.runtime import free_name, materialize, shuffle_partitions
+from kolonna.runtime import chunks, free_name, materialize, shuffle_partitions
 
 TARGET_ROWS = 100_000
 #: Files of one partition that one heap schedules.
@@ -72,7 +72,7 @@ def longest_first(units: DataFrame) -> DataFrame:
 
 @dataclass
 class Compaction:
-    """``manifest``: partition keys, file_id, n_records, slot, path; a row for each (source file, output file), and for each empty file."""
+    """``manifest``: partition keys, file_id, n_records, stored_here, listed, slot, path; a row for each (source file, output file), and for each empty file."""
 
     folder: str
     manifest: DataFrame
@@ -117,7 +117,7 @@ def compact_records(
     first = Window.partitionBy("file").orderBy(*renamed)
     places = listed.withColumn("home", F.row_number().over(first) == 1)
     files = places.join(sizes.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")), "full")
-    files = files.select(*renamed, F.coalesce("file", "f").alias("file"), F.coalesce("home", F.lit(True)).alias("home"), F.coalesce("n", F.lit(0)).alias("n"))
+    files = files.select(*renamed, F.coalesce("file", "f").alias("file"), F.col("home").isNotNull().alias("listed"), F.coalesce("home", F.lit(True)).alias("home"), F.coalesce("n", F.lit(0)).alias("n"))
     files = materialize(files, "inventory")
 
     # 2. schedule
@@ -135,7 +135,7 @@ def compact_records(
     # 3. stream
     small = assignment.count() <= BROADCAST_ROWS
     to = F.broadcast(assignment) if small else assignment
-    placed = rows.join(to.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")))
+    placed = rows.mapInArrow(_without_repeats, rows.schema).join(to.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")))
     placed = placed.select(F.when(F.col("pieces") > 1, F.concat_ws("/", "slot", F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("string"))).otherwise(F.col("slot")).alias("slot"), "file", "rid", "payload")
     ordered = placed.repartition(shuffle_partitions(spark), "slot").sortWithinPartitions("slot", "file", "rid", F.desc_nulls_last("payload"))
     spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data").getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data"))
@@ -150,7 +150,7 @@ def compact_records(
     manifest = files.join(written.withColumnRenamed("file", "g"), F.col("home") & F.col("file").eqNullSafe(F.col("g")), "left")
     taken = [*keys, file_id]
     columns = [F.col(a).alias(k) for a, k in zip(renamed, keys)] + [F.col("file").alias(file_id)]
-    columns += [F.when(F.col("home"), F.coalesce("written", F.lit(0))).otherwise(F.col("n")).alias(free_name("n_records", taken)), F.col("home").alias(free_name("stored_here", taken)), F.col("slot").alias(free_name("slot", taken)), F.col("path").alias(free_name("path", taken))]
+    columns += [F.when(F.col("home"), F.coalesce("written", F.lit(0))).otherwise(F.col("n")).alias(free_name("n_records", taken)), F.col("home").alias(free_name("stored_here", taken)), F.col("listed").alias(free_name("listed", taken)), F.col("slot").alias(free_name("slot", taken)), F.col("path").alias(free_name("path", taken))]
     name = f"manifest-{uuid.uuid4().hex}"
     manifest.select(*columns).write.parquet(f"{folder}/{name}")
     path, fs = _pointer(spark, folder)
@@ -169,6 +169,13 @@ def sizes_of(files: DataFrame) -> DataFrame:
     return files.where("home").select("file", "n")
 
 
+def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact repeats within a chunk, so that a record repeated without end does not travel; the rest of the repeats meet in the stream."""
+    for table in chunks(batches, 1 << 17):
+        names = table.column_names
+        yield from table.group_by(names, use_threads=False).aggregate([]).select(names).to_batches()
+
+
 def _writer(folder: str, names: tuple[str, str, str]):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs

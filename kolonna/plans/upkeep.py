@@ -30,9 +30,8 @@ FILES = """
     having count(*) >= 12 and 4 * count(*) filter (coalesce(n, 0) < 20) >= 3 * count(*)""")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Compact all partitions, then read off the verified manifest which of them were scattered."""
-    files = compacted(spark, folder).manifest.groupBy("table_name", "date", "marble_id").agg(F.sum("n_records").alias("n"))
-    listed = files.where("table_name is not null or date is not null")
-    of = listed.groupBy("table_name", "date").agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("n") < 20, 1)).alias("small"))
+    files = compacted(spark, folder).manifest.where("listed").groupBy("table_name", "date", "marble_id").agg(F.sum("n_records").alias("n"))
+    of = files.groupBy("table_name", "date").agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("n") < 20, 1)).alias("small"))
     return of.where("files >= 12 and 4 * small >= 3 * files").select("table_name", "date")
 
 
@@ -41,7 +40,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from f left join n using (marble_id) group by table_name, date""")
 def p3_partitions(spark: SparkSession, folder: str) -> DataFrame:
     """What compaction made of each partition."""
-    of = compacted(spark, folder).manifest.where("table_name is not null or date is not null").groupBy("table_name", "date")
+    of = compacted(spark, folder).manifest.where("listed").groupBy("table_name", "date")
     return of.agg(F.countDistinct("marble_id").alias("files_before"), F.sum("n_records").alias("records"), F.countDistinct("path").alias("files_after"))
 
 
