@@ -37,27 +37,36 @@ CROWD, HOT, MAX_BITS = 4096, 10_000, 1 << 28
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = x + np.uint64(seed)
+    x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     return x
 
 
+#: Odd multipliers, one for each power of two; all are 3 modulo 4, so no two strings built by swapping halves cancel out.
+_FACTORS = [np.uint64(x | 3) for x in (0xA0761D6478BD642C, 0xE7037ED1A0B428D8, 0x8EBC6AF09C88C6E0, 0x589965CC75374CC0, 0x1D8E4E27C47D1240, 0xEB44ACCAB455D164, 0xD6E8FEB86659FD90, 0x9E3779B97F4A7C14, 0xBF58476D1CE4E5B8, 0x94D049BB133111E8, 0xC2B2AE3D27D4EB4C)]
+
+
 def piece_hashes(codes: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """A hash of every piece of ``length`` codes, put together from pieces of powers of two."""
-    power, size, done, have = _mix(codes.astype(np.uint64), seed), 1, None, 0
+    """A hash of every piece of ``length`` codes, put together from pieces of powers of two: a sum of mixed codes, each times a factor of its place."""
+    power, size, done, have, step = _mix(codes.astype(np.uint64), seed), 1, None, 0, 0
     while True:
+        factor = _FACTORS[step % len(_FACTORS)]
         if length & size:
             if done is None:
                 done, have = power, size
             else:
-                done = _mix(done[: max(0, len(codes) - have - size + 1)], have) + power[have:] * np.uint64(0xD6E8FEB86659FD93)
+                done = done[: max(0, len(codes) - have - size + 1)] * _FACTORS[(step + 5) % len(_FACTORS)]
+                done += power[have:]
                 have += size
-        size *= 2
+        size, step = size * 2, step + 1
         if size > length:
             return _mix(done, seed + 1)
-        power = _mix(power[: max(0, len(codes) - size + 1)], size) * np.uint64(0xA0761D6478BD642F) + power[size // 2 :]
+        shifted = power[size // 2 :]
+        power = power[: len(shifted)] * factor
+        power += shifted
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
