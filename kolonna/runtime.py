@@ -101,6 +101,24 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int, weight: Callable[[pa.Re
         yield pa.Table.from_batches(held)
 
 
+def pieces(table: pa.Table, column: str, size: int, starts: np.ndarray | None = None) -> Iterator[pa.Table]:
+    """Slices of about ``size`` bytes of a string column (longer where one row is); they begin only at ``starts``, by default at any row.
+
+    Arrow batches can be far larger than what a vectorised step should hold in the processor's cache.
+    """
+    import pyarrow.compute as pc
+
+    if not table.num_rows:
+        return
+    length = pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy().astype(np.int64)
+    before = np.cumsum(length) - length
+    starts = np.arange(table.num_rows) if starts is None else starts
+    block = before[starts] // size
+    first = starts[np.r_[True, block[1:] != block[:-1]]]
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), table.num_rows]):
+        yield table.slice(a, b - a)
+
+
 def fold_sorted(batches: Iterator[pa.RecordBatch], combine: Callable[[pa.Table], pa.Table], rows: int, weight: Callable[[pa.RecordBatch], int] | None = None) -> Iterator[pa.Table]:
     """One row per key from a stream sorted by key. ``combine`` is associative: it merges the rows of each key into one, in key order.
 
