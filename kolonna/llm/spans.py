@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolonna.runtime import chunks, materialize, shuffle_partitions
+from kolonna.runtime import chunks, materialize, pieces, shuffle_partitions
 
 K, M = 300, 128
-#: Bytes of text that a task works on at once; windows in one string at most.
-CHUNK_BYTES, RUN = 4 << 20, 4096
+#: Bytes of text that a task hashes at once (several arrays of eight times that fit the processor's cache); windows in one string at most.
+CHUNK_BYTES, RUN = 1 << 18, 4096
 #: Strings of a bucket that are gathered; share of all strings from which a minimiser is hot; bits of the bitmap at most.
 CROWD, HOT, MAX_BITS = 4096, 10_000, 1 << 28
 
@@ -149,7 +149,7 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     kind = slim.schema["doc"].dataType
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, CHUNK_BYTES, lambda b: b.column(1).nbytes):
+        for table in (p for b in batches for p in pieces(pa.Table.from_batches([b]), "text", CHUNK_BYTES)):
             of, _, _, least = super_kmers(table.column("text").to_pylist(), k, m)
             yield pa.RecordBatch.from_arrays([table.column("doc").combine_chunks().take(pa.array(of)), pa.array(least)], names=["doc", "minimiser"])
 
@@ -166,7 +166,7 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bitmap_sent.value
-        for table in chunks(batches, CHUNK_BYTES, lambda b: b.column(1).nbytes):
+        for table in (p for b in batches for p in pieces(pa.Table.from_batches([b]), "text", CHUNK_BYTES)):
             texts = table.column("text").to_pylist()
             of, start, count, least = super_kmers(texts, k, m)
             place = least & (bits - 1)
@@ -254,7 +254,10 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             # a string alone in its bucket came through the bitmap by chance
             rows |= np.repeat(size == 1, size)[: len(rows)]
             if len(rows) and not rows.all():
-                yield from gather(table.filter(pa.array(~rows)))
+                table = table.filter(pa.array(~rows))
+                least = table.column("minimiser").to_numpy()
+                for whole in pieces(table, "string", CHUNK_BYTES, np.flatnonzero(np.r_[True, least[1:] != least[:-1]])):
+                    yield from gather(whole)
         if carry is not None and carry.num_rows > 1:
             yield from gather(carry)
 
