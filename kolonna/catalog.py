@@ -23,7 +23,7 @@ class Files:
     """The few file operations a catalog needs, on any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str) -> tuple:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,6 +33,10 @@ class Files:
         p, fs = self._at(path)
         return fs.exists(p)
 
+    def make(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.mkdirs(p)
+
     def delete(self, path: str) -> None:
         p, fs = self._at(path)
         fs.delete(p, True)
@@ -69,21 +73,33 @@ class Files:
         stream = fs.create(draft, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(draft, p)
+        self.replace(draft, p)
+
+    def replace(self, draft: object, path: object) -> None:
+        """One atomic rename, over what is there."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        options = self._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(path.toUri(), self._conf).rename(draft, path, options)
 
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def data_folder(files: Files, location: str) -> str:
+    """Where the rows of a table are: the definition says which folder is current."""
+    path = f"{location}/{DEFINITION}"
+    return f"{location}/{json.loads(files.read(path)).get('data', 'data') if files.exists(path) else 'data'}"
+
+
 def stored_frame(spark: SparkSession, location: str, fields: list[Field], partition: str | None, evolved: Iterable[str] = ()) -> DataFrame:
     """The rows of a stored table. Columns that older files lack hold their default; a missing partition value is the empty string."""
     schema = T.StructType([T.StructField(f.name, f.type) for f in fields if f.name != partition] + ([T.StructField(partition, T.StringType())] if partition else []))
-    if not Files(spark).files(f"{location}/data"):
+    data = data_folder(Files(spark), location)
+    if not Files(spark).files(data):
         return spark.createDataFrame([], schema).select(*[_q(f.name) for f in fields])
-    frame = spark.read.schema(schema).parquet(f"{location}/data")
+    frame = spark.read.schema(schema).parquet(data)
     late = set(evolved)
     shown = []
     for f in fields:
@@ -111,7 +127,16 @@ class Catalog:
             raise ValueError(f"{name!r} is no table name")
         if partition_value is None:
             return f"{self.root}/{name}"
-        return f"{self.root}/{name}/data/{partition}={self._escaped(partition_value)}"
+        return f"{self.data(name)}/{partition}={self._escaped(partition_value)}"
+
+    def data(self, name: str) -> str:
+        """The folder of a table's rows."""
+        return data_folder(self.files, f"{self.root}/{name}")
+
+    def use_data(self, name: str, folder: str) -> None:
+        """Make another folder the current one: one atomic step for readers."""
+        path = f"{self.location(name)}/{DEFINITION}"
+        self.files.write(path, json.dumps(json.loads(self.files.read(path)) | {"data": folder}))
 
     def _escaped(self, value: str) -> str:
         return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value) if value else "__HIVE_DEFAULT_PARTITION__"
@@ -128,13 +153,14 @@ class Catalog:
             raise ValueError("a table has columns")
         path = f"{self.location(name)}/{DEFINITION}"
         evolved: list[str] = []
+        data = "data"
         if self.files.exists(path):
             if not force:
                 return None
             old = json.loads(self.files.read(path))
-            known = {f["name"] for f in old["fields"]}
+            known, data = {f["name"] for f in old["fields"]}, old.get("data", "data")
             evolved = sorted({*old["evolved"]} | {f.name for f in parsed if f.name not in known})
-        self.files.write(path, json.dumps({"fields": [f.to_json() for f in parsed], "partition": partition, "evolved": evolved}))
+        self.files.write(path, json.dumps({"fields": [f.to_json() for f in parsed], "partition": partition, "evolved": evolved, "data": data}))
         return self.open(name)
 
     def find(self, name: str) -> Table | None:
@@ -169,13 +195,13 @@ class Catalog:
         if table._partition is None:
             return []
         mark = f"{table._partition}="
-        return sorted(self._unescaped(n[len(mark) :]) for n in self.files.names(f"{self.location(table._name)}/data", True) if n.startswith(mark))
+        return sorted(self._unescaped(n[len(mark) :]) for n in self.files.names(self.data(table._name), True) if n.startswith(mark))
 
     def delete(self, what: Table | Predicate) -> list[str]:
         """Delete all rows, or the partitions that a condition on the partition column alone selects; the definition stays."""
         if isinstance(what, Table):
             values = self.partitions(what)
-            self.files.delete(f"{self.location(what._name)}/data")
+            self.files.delete(self.data(what._name))
             return values
         if not isinstance(what, Predicate):
             raise ValueError("delete takes a table or a condition")
@@ -222,6 +248,11 @@ def get_tables() -> list[str]:
     return _catalog().names()
 
 
+def save(name: str, table: Table) -> Table:
+    """Store a nested result under a name of its own."""
+    return _catalog().save(name, table.frame)
+
+
 def tables() -> None:
     """Print all tables."""
     printing.columns(get_tables())

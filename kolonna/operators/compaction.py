@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kolonna.catalog import Files
 from kolonna.runtime import chunks, free_name, materialize, shuffle_partitions
 
 TARGET_ROWS = 100_000
@@ -82,15 +83,10 @@ class Compaction:
         return read_compacted(spark, self.folder)
 
 
-def _pointer(spark: SparkSession, folder: str) -> tuple[object, object]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The published manifest of ``folder``."""
-    current = "".join(r[0] for r in spark.read.text(f"{folder}/CURRENT").collect())
-    return spark.read.parquet(f"{folder}/{json.loads(current)['manifest']}")
+    current = json.loads(Files(spark).read(f"{folder}/CURRENT"))
+    return spark.read.parquet(f"{folder}/{current['manifest']}")
 
 
 def read_compacted(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +134,7 @@ def compact_records(
     placed = rows.mapInArrow(_without_repeats, rows.schema).join(to.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")))
     placed = placed.select(F.when(F.col("pieces") > 1, F.concat_ws("/", "slot", F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("string"))).otherwise(F.col("slot")).alias("slot"), "file", "rid", "payload")
     ordered = placed.repartition(shuffle_partitions(spark), "slot").sortWithinPartitions("slot", "file", "rid", F.desc_nulls_last("payload"))
-    spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data").getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data"))
+    Files(spark).make(f"{folder}/data")
     names = (file_id, record_no, payload)
     written = materialize(ordered.mapInArrow(_writer(f"{folder}/data", names), T.StructType([T.StructField("slot", T.StringType()), T.StructField("path", T.StringType()), T.StructField("file", rows.schema["file"].dataType), T.StructField("written", T.LongType())])), "written")
 
@@ -153,15 +149,7 @@ def compact_records(
     columns += [F.when(F.col("home"), F.coalesce("written", F.lit(0))).otherwise(F.col("n")).alias(free_name("n_records", taken)), F.col("home").alias(free_name("stored_here", taken)), F.col("listed").alias(free_name("listed", taken)), F.col("slot").alias(free_name("slot", taken)), F.col("path").alias(free_name("path", taken))]
     name = f"manifest-{uuid.uuid4().hex}"
     manifest.select(*columns).write.parquet(f"{folder}/{name}")
-    path, fs = _pointer(spark, folder)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.CURRENT-{uuid.uuid4().hex}")
-    stream = fs.create(draft, True)
-    stream.write(bytearray(json.dumps({"manifest": name}).encode()))
-    stream.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(draft, path, options)
+    Files(spark).write(f"{folder}/CURRENT", json.dumps({"manifest": name}))
     return Compaction(folder, read_manifest(spark, folder))
 
 
@@ -176,12 +164,25 @@ def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from table.group_by(names, use_threads=False).aggregate([]).select(names).to_batches()
 
 
+def open_folder(folder: str) -> tuple:
+    """pyarrow's file system of a path that Spark uses, and the path in it."""
+    import pyarrow.fs as pafs
+
+    scheme, found, rest = folder.partition("://")
+    if not found or scheme == "file":
+        plain = rest if found else folder.removeprefix("file:")
+        return pafs.LocalFileSystem(), "/" + plain.lstrip("/")
+    # only the root is parsed as a URI: partition values can hold any character
+    host, _, path = rest.partition("/")
+    fs, base = pafs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
+    return fs, f"{base.rstrip('/')}/{path}"
+
+
 def _writer(folder: str, names: tuple[str, str, str]):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
-        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, root = open_folder(folder)
         out = None
         state: dict = {"slot": None}
 

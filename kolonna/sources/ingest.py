@@ -184,7 +184,7 @@ def _append(catalog: Catalog, table: Table, rows: DataFrame, partition_filter: A
         rows = rows.where(F.col(BROKEN) | (F.col(_q(table._partition)).isin(wanted) if wanted else F.lit(False)))
     seen = Observation()
     good = rows.observe(seen, F.count(F.when(~F.col(BROKEN), 1)).alias("rows"), F.count(F.when(F.col(BROKEN), 1)).alias("rejected")).where(~F.col(BROKEN)).drop(BROKEN)
-    data = f"{catalog.location(table._name)}/data"
+    data = catalog.data(table._name)
     before = catalog.files.files(data)
     if table._partition is not None:
         # one well-sized file a partition instead of one a task and partition; AQE splits partitions that are too large for that

@@ -25,9 +25,9 @@ def follow(spark: SparkSession, table: Table, folder: str, checkpoint: str, deco
     names = [f.name for f in table._fields]
     lines = spark.readStream.schema(T.StructType([T.StructField(LINE, T.StringType())])).text(folder)
     rows = _decoded(lines, names, decoder or json_decoder, preprocess, table._fields)
-    data = f"{Catalog(spark).location(table._name)}/data"
 
     def append(batch: DataFrame, number: int) -> None:
+        data = Catalog(spark).data(table._name)  # compaction can move it between batches
         # Spark runs a batch again after a failure
         stamp = f"batch-{number:012d}"
         writer = batch.where(~F.col(BROKEN)).drop(BROKEN).write.mode("append").option("compression", "zstd")

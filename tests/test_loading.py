@@ -134,3 +134,28 @@ def test_settings(tmp_path):
     path.write_text("nest: true\nhistory_size: 5\n")
     s = Settings(settings_file=str(path), history_size=7)
     assert s["nest"] is True and s["history_size"] == 7 and s["dump"] is False
+
+
+def test_compaction_of_a_stored_table(spark, warehouse):
+    from kolonna.api import compact_table
+    from kolonna.catalog import Catalog
+
+    catalog = Catalog(spark)
+    t = create("t", ["index int a", "index string p"], partition="p")
+    assert compact_table(catalog, t) == (0, 0, 0)
+    values = ["1", "a/b=c%25", "é x+y", ""]
+    for n in range(5):
+        insert(t, frame=spark.createDataFrame([(n * 100 + i, values[i % 4]) for i in range(20)], "a int, p string"))
+    t = create("t", ["index int a", "index string p", "late"], partition="p", force=True)
+    insert(t, frame=spark.sql("select 7 as a, '1' as p, 'new' as late"))
+    before = sorted(tuple(r) for r in open_table("t").frame.collect())
+    done = compact_table(catalog, open_table("t"))
+    assert done.rows == 101 and done.files_before == 21 and done.files_after == 4
+    assert sorted(tuple(r) for r in open_table("t").frame.collect()) == before and get_partitions("t") == sorted(values)
+    insert(open_table("t"), frame=spark.sql("select 8 as a, '1' as p"))
+    assert len(list(open_table("t"))) == 102
+    assert delete(t.p == "1") == ["1"] and len(list(open_table("t"))) == 102 - 27
+    with pytest.raises(ValueError):
+        from kolonna.api import save
+
+        save("t", open_table("t"))
