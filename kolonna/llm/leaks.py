@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolonna.runtime import chunks
+from kolonna.runtime import chunks, pieces
 
 WORDS = 12
 #: Bytes of text in a shard, and passages sent to the tasks at once.
@@ -167,7 +167,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
             from pyspark.sql.pandas.types import to_arrow_schema
 
             out = to_arrow_schema(schema)
-            for table in chunks(batches, SHARD_BYTES, lambda b: b.column(1).nbytes):
+            for table in (p for c in chunks(batches, SHARD_BYTES, lambda b: b.column(1).nbytes) for p in pieces(c, "text", SHARD_BYTES)):
                 found = find_in_shard(table.column("text").to_pylist(), lists, words)
                 doc = table.column("doc_id").combine_chunks().take(pa.array(found[0]))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, out.field(i + 1).type) for i, x in enumerate(found[1:]))], schema=out)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolonna.runtime import chunks, materialize, shuffle_partitions
+from kolonna.runtime import chunks, materialize, pieces, shuffle_partitions
 
 TERMS = 1 << 16
 SHARD_TEXTS = 2048
@@ -135,7 +135,7 @@ def pack(documents: DataFrame, capacity: int, counter: Counter, doc_id: str = "d
 
         count, split, row = counter(), re.compile(r"\w+").findall, TaskContext.get().partitionId() << 40
         number: dict[str, int] = {}
-        for table in chunks(batches, 4 << 20, lambda b: b.column(1).nbytes):
+        for table in (p for b in batches for p in pieces(pa.Table.from_batches([b]), "text", 4 << 20)):
             texts = [t or "" for t in table.column("text").to_pylist()]
             bags = []
             for t in texts:
