@@ -33,6 +33,13 @@ class Files:
         p, fs = self._at(path)
         return fs.exists(p)
 
+    def move(self, path: str, to: str) -> None:
+        p, fs = self._at(path)
+        target = self._at(to)[0]
+        fs.mkdirs(target.getParent())
+        if not fs.rename(p, target):
+            raise OSError(f"{path} could not be moved to {to}")
+
     def make(self, path: str) -> None:
         p, fs = self._at(path)
         fs.mkdirs(p)

@@ -135,7 +135,7 @@ def keyed_aggregate(df: DataFrame, keys: list[str], order: str, value: str | Non
 
         slim, out, here = to_arrow_schema(state), to_arrow_schema(placed), TaskContext.get().partitionId()
         held, begun = None, False
-        for table in fold_sorted((pa.RecordBatch.from_arrays([b.column(c) for c in range(len(slim))], schema=slim) for b in batches), lambda t: _combine(t, keys, names, gap, True).cast(slim), CHUNK):
+        for table in fold_sorted((b.select(slim.names) for b in batches), lambda t: _combine(t, keys, names, gap, True).cast(slim), CHUNK):
             if held is not None:
                 yield from mark(held, begun, False, here, out)
                 begun = True

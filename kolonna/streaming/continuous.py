@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -19,24 +21,28 @@ from kolonna.table import Table
 def follow(spark: SparkSession, table: Table, folder: str, checkpoint: str, decoder: Callable[[Any], dict] | None = None, preprocess: Callable | None = None, once: bool = False) -> StreamingQuery:
     """Append every text file that arrives in ``folder`` to a stored table, each exactly once.
 
-    Spark's checkpoint says which files are done; a batch that was appended before a failure is marked and not appended again. Lines that can not be decoded or
-    converted are left out. ``once`` loads what is there and ends.
+    Spark's checkpoint says which files belong to a batch. A batch is written aside, then its files are listed under the checkpoint, then
+    moved into the table: a batch that runs again after a failure is either written anew or only moved to the end. Lines that
+    can not be decoded or converted are left out. ``once`` loads what is there and ends.
     """
     names = [f.name for f in table._fields]
     lines = spark.readStream.schema(T.StructType([T.StructField(LINE, T.StringType())])).text(folder)
     rows = _decoded(lines, names, decoder or json_decoder, preprocess, table._fields)
 
+    mark = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
     def append(batch: DataFrame, number: int) -> None:
-        data = Catalog(spark).data(table._name)  # compaction can move it between batches
-        # Spark runs a batch again after a failure
-        stamp = f"batch-{number:012d}"
-        writer = batch.where(~F.col(BROKEN)).drop(BROKEN).write.mode("append").option("compression", "zstd")
-        done = f"{checkpoint.rstrip('/')}/appended/{stamp}"
-        files = Catalog(spark).files
-        if files.exists(done):
-            return
-        (writer.partitionBy(table._partition) if table._partition else writer).parquet(data)
-        files.write(done, "")
+        catalog = Catalog(spark)
+        files, data = catalog.files, catalog.data(table._name)
+        listing, aside = f"{checkpoint.rstrip('/')}/appended/{number:012d}", f"{catalog.location(table._name)}/arriving-{mark}-{number:012d}"
+        if not files.exists(listing):
+            writer = batch.where(~F.col(BROKEN)).drop(BROKEN).write.mode("overwrite").option("compression", "zstd")
+            (writer.partitionBy(table._partition) if table._partition else writer).parquet(aside)
+            files.write(listing, json.dumps(sorted(f.partition(f"-{number:012d}/")[2] for f in files.files(aside))))
+        for name in json.loads(files.read(listing)):
+            if files.exists(f"{aside}/{name}"):
+                files.move(f"{aside}/{name}", f"{data}/{name}")
+        files.delete(aside)
 
     stream = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
     return (stream.trigger(availableNow=True) if once else stream).start()

@@ -159,3 +159,26 @@ def test_compaction_of_a_stored_table(spark, warehouse):
         from kolonna.api import save
 
         save("t", open_table("t"))
+
+
+def test_a_batch_that_failed_while_moving_is_finished(spark, warehouse, monkeypatch):
+    from kolonna.catalog import Files
+
+    t = create("t", ["index int a", "index string d"], partition="d")
+    folder, marks = warehouse / "arrivals", f"file://{warehouse}/marks"
+    folder.mkdir()
+    (folder / "0.json").write_text("\n".join(json.dumps({"a": i, "d": f"d{i}"}) for i in range(4)))
+    move, calls = Files.move, []
+
+    def breaks(self, path, to):
+        calls.append(path)
+        if len(calls) == 3:
+            raise OSError("gone")
+        move(self, path, to)
+
+    monkeypatch.setattr(Files, "move", breaks)
+    with pytest.raises(Exception):  # noqa: B017
+        follow(spark, t, f"file://{folder}", marks, once=True).awaitTermination(120)
+    assert len(list(open_table("t"))) == 2
+    follow(spark, t, f"file://{folder}", marks, once=True).awaitTermination(120)
+    assert sorted(r[0] for r in open_table("t")) == [0, 1, 2, 3]
