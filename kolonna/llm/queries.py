@@ -185,7 +185,9 @@ def p8_shared_share(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_shares(table(spark, folder, "documents"), windows(spark, folder))
 
 
-@query()
+@query(f"""{WINDOWS}, p as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w where h in (select h from many)),
+    g as (select doc_id, i, sum(case when before is null or i - before > 300 then 1 else 0 end) over (partition by doc_id order by i) as g from p)
+    select doc_id, min(i) - 1 as start, max(i) + 299 as "end" from g group by doc_id, g""")
 def p8_stretches(spark: SparkSession, folder: str) -> DataFrame:
     """The stretches of each document that also stand elsewhere."""
     return spans.shared_stretches(windows(spark, folder))
