@@ -8,9 +8,9 @@ memory does not depend on how large a set is, and a set that holds a third of al
 Which pairs to count: those given, or all that can reach ``share`` of both sets. For the latter the least hash of a set in each of
 256 bins is its signature; bins agree with the probability of the sets' Jaccard similarity. A pair is counted
 exactly if it agrees in 0.3 of the bins to be expected at the limit (at least one): a pair at the limit is missed with a
-probability of some 1e-4, one clearly above it practically never. A signature value that more than ``CROWD`` sets share (an
-identifier found nearly everywhere) makes no pairs; its bin counts as missing, and sets for which more than half of the bins
-are missing are compared with each other exactly instead.
+probability of some 1e-4, one clearly above it practically never. All bins count. Signature values that more than ``CROWD`` sets share
+(identifiers found nearly everywhere) are not joined by value, which would pile up in few tasks: the sets that hold any are cut
+into blocks of near sizes, and a task counts the agreements in such values for two blocks.
 
 Counts are exact but for collisions of 64-bit hashes. Defined results: null sets and null identifiers belong to nothing;
 repeated rows count once; sets below ``min_size`` make no pair; an empty table gives no rows.
@@ -18,7 +18,7 @@ repeated rows count once; sets below ``min_size`` make no pair; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from kolonna.runtime import chunks, materialize, shuffle_partitions
 #: Identifiers in a range; a task holds the runs of one.
 RANGE_ROWS = 1 << 21
 BINS, SLACK, CROWD = 256, 0.3, 512
+#: Sets in a block where agreements in crowded values are counted; a task holds two blocks.
+BLOCK_SETS = 1024
 #: From this size ratio on the larger run is searched instead of merged.
 GALLOP = 8
 
@@ -134,14 +136,54 @@ def sorted_runs(df: DataFrame, set_column: str, id_column: str, range_rows: int
     return runs, names.join(sizes, "s"), 1 << bits
 
 
-def candidate_pairs(runs: DataFrame, names: DataFrame, share: float, min_size: int, crowd: int = CROWD) -> DataFrame:
+def crowded_pairs(crowded: DataFrame, share: float, needed: Callable[[np.ndarray], np.ndarray], block_sets: int) -> DataFrame:
+    """(a, b) of the sets (s, size, hs) that agree in enough of the crowded values ``hs``."""
+    width = float(-np.log(share)) if 0 < share < 1 else 50.0
+    classed = crowded.withColumn("c", F.floor(F.log("size") / width + 1e-9).cast("int"))
+    blocks = {r.c: -(-r.n // block_sets) for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not blocks:
+        return crowded.select(F.col("s").alias("a"), F.col("s").alias("b"))
+    # sets that can reach the share are in one class or in neighbouring ones (two classes on is for rounding)
+    of = F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)])
+    placed = classed.withColumn("k", F.pmod(F.xxhash64("s"), of[F.col("c")]).cast("int"))
+    meets = [(c, i, d, j) for c in blocks for d in (c, c + 1, c + 2) if d in blocks for i in range(blocks[c]) for j in range(blocks[d]) if (c, i) <= (d, j)]
+    ends = [(n, *end, side) for n, (c, i, d, j) in enumerate(meets) for side, end in enumerate(((c, i), (d, j))) if side == 0 or (c, i) != (d, j)]
+    met = placed.sparkSession.createDataFrame(ends, "meeting int, c int, k int, side int")
+    alone = {n for n, (c, i, d, j) in enumerate(meets) if (c, i) == (d, j)}
+
+    def agree(table: pa.Table) -> pa.Table:
+        side, s, size = (table.column(c).to_numpy() for c in ("side", "s", "size"))
+        lists = table.column("hs").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        ends, value = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        left = np.flatnonzero(side == 0)
+        right = left if table.column("meeting")[0].as_py() in alone else np.flatnonzero(side == 1)
+        place = np.full(len(s), -1)
+        place[right] = np.arange(len(right))
+        holder = place[np.repeat(np.arange(len(s)), np.diff(ends))]
+        there = np.flatnonzero(holder >= 0)
+        there = there[np.argsort(value[there], kind="stable")]
+        holder, begin = holder[there], np.searchsorted(value[there], np.arange(value.max() + 2))
+        found = []
+        for i in left.tolist():
+            n = np.bincount(np.concatenate([holder[begin[v] : begin[v + 1]] for v in value[ends[i] : ends[i + 1]]]), minlength=len(right))
+            larger, smaller = np.maximum(size[right], size[i]), np.minimum(size[right], size[i])
+            j = right[(n >= np.maximum(1, needed(larger))) & (smaller >= share * larger)]
+            j = j[s[j] > s[i]] if right is left else j
+            found.append(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": a, "b": b})
+
+    return placed.join(F.broadcast(met), ["c", "k"]).select("meeting", "side", "s", "size", "hs").groupBy("meeting").applyInArrow(agree, "a long, b long")
+
+
+def candidate_pairs(runs: DataFrame, names: DataFrame, share: float, min_size: int, crowd: int = CROWD, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(a, b) of all sets of at least ``min_size`` that can share ``share`` of both."""
     sets = names.where(F.col("size") >= min_size).select("s", "size")
     signature = runs.select("s", F.explode("least").alias("h")).groupBy("s", F.shiftrightunsigned("h", 56).alias("bin")).agg(F.min("h").alias("h"))
     signature = materialize(signature.join(sets, "s").select("s", "h", "size"), "signature")
     holders = signature.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    known = signature.join(holders, "h", "left")
-    thin = known.groupBy("s", "size").agg(F.avg((F.coalesce("holders", F.lit(0)) > crowd).cast("int")).alias("missing")).where("missing > 0.5")
+    known = signature.join(holders, "h")
     limit = share / (2 - share)
 
     def fits(x: str, y: str) -> Column:
@@ -151,13 +193,16 @@ def candidate_pairs(runs: DataFrame, names: DataFrame, share: float, min_size: i
     agree = shared.alias("x").join(shared.alias("y"), (F.col("x.h") == F.col("y.h")) & fits("x", "y"))
     bins = BINS * (1 - F.exp(-F.greatest("x.size", "y.size") / float(BINS)))
     agree = agree.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.floor(SLACK * limit * bins).alias("least"))
-    pairs = agree.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
-    # sets of which most bins are crowded meet within their size class and its neighbour
-    width = float(-np.log(share)) if 0 < share < 1 else 50.0
-    classed = thin.withColumn("c", F.floor(F.log("size") / width))
-    other = classed.select("s", "size", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
-    rest = classed.alias("x").join(other.alias("y"), (F.col("x.c") == F.col("y.c")) & fits("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
-    return pairs.union(rest).distinct()
+    agree = agree.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
+    crowded = materialize(known.where(F.col("holders") > crowd).groupBy("s", "size").agg(F.collect_list("h").alias("hs")), "crowded")
+    if crowded.isEmpty():
+        return agree.where("n >= least").select("a", "b")
+    # agreements in crowded values add to the others, and can be enough by themselves
+    agree = materialize(agree, "agree")
+    x, y = (crowded.select(F.col("s").alias(k), F.col("hs").alias(f"hs_{k}")) for k in "ab")
+    both = agree.where("n < least").join(x, "a").join(y, "b").where(F.col("n") + F.size(F.array_intersect("hs_a", "hs_b")) >= F.col("least"))
+    alone = crowded_pairs(crowded, share, lambda size: np.floor(SLACK * limit * BINS * (1 - np.exp(-size / float(BINS)))), block_sets)
+    return agree.where("n >= least").select("a", "b").union(both.select("a", "b")).union(alone).distinct()
 
 
 def overlap_counts(runs: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:

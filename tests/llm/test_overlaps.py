@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kolonna.llm.overlaps import common, decode_run, encode_run, gallop, given_overlaps, merge, set_overlaps
+from kolonna.llm.overlaps import BLOCK_SETS, candidate_pairs, common, decode_run, encode_run, gallop, given_overlaps, merge, set_overlaps, sorted_runs
 
 
 def test_runs_survive_encoding_and_both_ways_count_alike():
@@ -53,6 +53,20 @@ def test_crowded_signatures_have_an_exact_way(spark):
     assert got == brute(rows, 0.6, 1)
 
 
+@pytest.mark.parametrize("own,everywhere", [(25, 15), (650, 350)])
+def test_pairs_in_crowded_identifiers_alone(spark, own, everywhere):
+    # common identifiers are in far fewer than half of the bins, and nothing else is shared
+    rows = [(f"s{s}", f"c{i}") for s in range(24) for i in range(everywhere)] + [(f"s{s}", f"{s}-{i}") for s in range(24) for i in range(own)]
+    # s0 and s1 have a quarter of that besides, and one holds common identifiers only
+    rows += [("thin", f"c{i}") for i in range(everywhere)] + [(s, f"two-{i}") for s in ("s0", "s1") for i in range(own // 4)]
+    df = spark.createDataFrame(rows, "k string, i string")
+    for block_sets in (BLOCK_SETS, 5):
+        runs, names, _ = sorted_runs(df, "k", "i")
+        assert candidate_pairs(runs, names, 0.25, 1, crowd=8, block_sets=block_sets).count() == 25 * 24 // 2
+    got = {tuple(r) for r in set_overlaps(df, "k", "i", 0.25, crowd=8).collect()}
+    assert got == brute(rows, 0.25, 1) and len(got) == 25 * 24 // 2
+
+
 def test_given_pairs_and_empty(spark, rows):
     df = spark.createDataFrame(rows, "k string, i string")
     pairs = spark.createDataFrame([("hot", "big"), ("s0", "s1"), ("nobody", "hot"), (None, "s1")], "x string, y string")
