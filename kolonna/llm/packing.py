@@ -3,13 +3,17 @@
 1. Every text is measured by a counter (bytes, or tokens of a public tokenizer) and reduced to the frequencies of its hashed words.
    A text longer than the capacity gives full containers of its own; only its rest is packed on.
 2. Document frequencies are counted over all texts. Words are hashed to ``TERMS`` numbers, so these statistics have a fixed size.
-3. The texts are spread evenly over shards of a bounded number of texts. A shard holds a BM25 inverted index of its texts. The longest unused
-   text is the seed of a container; the unused texts that the index returns for it fill the container, best first, as long
-   as they fit; what room is left goes to the largest unused texts that fit, related or not.
+3. The longest unused text is the seed of a container; the unused texts of the whole corpus that BM25 returns for it fill the container, best
+   first, as long as they fit; what room is left goes to the largest unused texts that fit, related or not.
+
+Up to ``SHARD_TEXTS`` texts are one shard, packed in a task. Beyond that seeds are taken ``SEEDS`` at a time: tasks score them against the unused
+texts of every shard, and the driver merges the best ones and fills containers in the order of the seeds. Lists that are sent are of bounded length,
+but nothing is lost by that: a container whose lists end before it is full stays open and asks again. The driver holds
+the size and container of each text, no words. The work is that of comparing each seed with each unused text.
 
 Defined results: a null or empty text has size 0, takes no room and is assigned like any other; a text of exactly the capacity is
 whole; repeated rows are separate items; ties in score go to the text that comes first by id and row; an empty table gives no rows.
-Which texts share a shard depends on the id and on where the row is stored, so results are repeatable for the same files.
+Ties between rows of one id, and in equal scores at the end of a list, depend on where rows are stored, so results are repeatable for the same files.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +31,8 @@ from kolonna.runtime import chunks, materialize, pieces, shuffle_partitions
 
 TERMS = 1 << 16
 SHARD_TEXTS = 2048
+#: Seeds looked up at once, in blocks for which a task holds all scores; the texts that a task names for a seed at once.
+SEEDS, BLOCK, NAMED = 2048, 256, 64
 #: BM25's constants, and the number of a seed's strongest words that are looked up.
 K1, B, ASKED = 1.2, 0.75, 24
 
@@ -53,63 +60,105 @@ def bpe_counter(path: str, pattern: str) -> Counter:
     return make
 
 
+class Unused:
+    """The texts by size, of which those used have a container and a place in it."""
+
+    def __init__(self, size: np.ndarray) -> None:
+        n = len(size)
+        self.size = size
+        self.container, self.place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        self.by_size = np.lexsort((-np.arange(n), size))
+        self.sizes = size[self.by_size]
+        self.at = np.empty(n, np.int64)
+        self.at[self.by_size] = np.arange(n)
+        # ``below[i]`` leads to the largest unused one at or under it; places count from 1 here, 0 is none
+        self.below = np.arange(n + 1)
+        self.room: dict[int, int] = {}
+        self.held: dict[int, int] = {}
+
+    def largest(self, room: int) -> int:
+        """The largest unused text that fits, or -1."""
+        below, i = self.below, int(np.searchsorted(self.sizes, room, "right"))
+        root = i
+        while below[root] != root:
+            root = int(below[root])
+        while below[i] != root:
+            below[i], i = root, int(below[i])
+        return int(self.by_size[root - 1]) if root else -1
+
+    def take(self, i: int, into: int) -> None:
+        self.container[i], self.place[i] = into, self.held[into]
+        self.below[self.at[i] + 1] = self.at[i]
+        self.held[into] += 1
+        self.room[into] -= int(self.size[i])
+
+    def open(self, seed: int, into: int, capacity: int) -> None:
+        self.room[into], self.held[into] = capacity, 0
+        self.take(seed, into)
+
+    def fill(self, near: np.ndarray, into: int) -> None:
+        """Take of ``near``, in its order, what is unused and fits."""
+        while len(near := near[(self.size[near] <= self.room[into]) & (self.container[near] < 0)]):
+            fit = int(np.searchsorted(np.cumsum(self.size[near]), self.room[into], "right"))
+            for i in near[:fit].tolist():
+                self.take(i, into)
+
+    def top_up(self, into: int) -> None:
+        while (i := self.largest(self.room[into])) >= 0:
+            self.take(i, into)
+        del self.room[into], self.held[into]
+
+
+def weights(owner: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25's weight of each term in its text."""
+    words = np.bincount(owner, count, n)
+    return idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * words[owner] / max(mean, 1e-9)))
+
+
+def scores(lengths: np.ndarray, asked: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, column: np.ndarray) -> np.ndarray:
+    """The score of each of ``n`` texts for each seed (``asked``: the terms of the seeds, one after the other). Terms with a ``column`` are frequent and multiplied densely."""
+    m, width = len(lengths), int(column.max(initial=-1)) + 1
+    seed = np.repeat(np.arange(m), lengths)
+    q, w = np.zeros((m, width), np.float32), np.zeros((n, width), np.float32)
+    often, dense = column[asked] >= 0, column[term] >= 0
+    q[seed[often], column[asked[often]]] = 1
+    w[owner[dense], column[term[dense]]] = weight[dense]
+    rare = np.flatnonzero(~dense)
+    rare = rare[np.argsort(term[rare], kind="stable")]
+    begin = np.r_[0, np.cumsum(np.bincount(term[rare], minlength=TERMS))]
+    seed, asked = seed[~often], asked[~often]
+    long = begin[asked + 1] - begin[asked]
+    at = rare[np.repeat(begin[asked] - np.cumsum(long) + long, long) + np.arange(long.sum())]
+    return np.bincount(np.repeat(seed * n, long) + owner[at], weight[at], m * n).reshape(m, n).astype(np.float32) + q @ w.T
+
+
 def fill_shard(size: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], capacity: int, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """(container of each text, its place in it). Sizes are at most ``capacity``."""
     n = len(size)
     container, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    words = np.array([c.sum() for c in counts], np.float64)
     owner = np.repeat(np.arange(n), [len(t) for t in terms])
     term = np.concatenate(terms) if n else np.empty(0, np.int64)
     count = np.concatenate(counts).astype(np.float64) if n else np.empty(0)
-    weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * words[owner] / max(mean, 1e-9)))
+    weight = weights(owner, term, count, n, idf, mean)
     own = np.r_[0, np.cumsum([len(t) for t in terms])]
     order = np.argsort(term, kind="stable")
     posting_doc, posting_weight = owner[order], weight[order]
     begin = np.searchsorted(term[order], np.arange(TERMS + 1))
 
-    # unused texts by size: ``below[i]`` leads to the largest unused one at or under it
-    by_size = np.lexsort((-np.arange(n), size))
-    sizes = size[by_size]
-    at_place = np.empty(n, np.int64)
-    at_place[by_size] = np.arange(n)
-    below = list(range(n + 1))  # places count from 1 here; 0 is none
-
-    def largest(i: int) -> int:
-        root = i
-        while below[root] != root:
-            root = below[root]
-        while below[i] != root:
-            below[i], i = root, below[i]
-        return root
-
-    def take(i: int, into: int, where: int) -> None:
-        container[i], place[i] = into, where
-        below[at_place[i] + 1] = at_place[i]
-
+    unused = Unused(size)
+    container, place = unused.container, unused.place
     made = 0
-    while (top := largest(n)) > 0:
-        seed = int(by_size[top - 1])
-        room, held = capacity - int(size[seed]), 1
-        take(seed, made, 0)
+    while (seed := unused.largest(capacity)) >= 0:
+        unused.open(seed, made, capacity)
         mine = slice(own[seed], own[seed + 1])
         asked = term[mine][np.argsort(-weight[mine], kind="stable")[:ASKED]]
-        if room > 0 and len(asked):
+        if unused.room[made] > 0 and len(asked):
             spans = [(begin[t], begin[t + 1]) for t in asked]
             docs = np.concatenate([posting_doc[a:b] for a, b in spans])
             score = np.bincount(docs, np.concatenate([posting_weight[a:b] for a, b in spans]), n)
             near = np.flatnonzero((score > 0) & (container < 0))
-            near = near[np.argsort(-score[near], kind="stable")]
-            while len(near := near[(size[near] <= room) & (container[near] < 0)]):
-                fit = int(np.searchsorted(np.cumsum(size[near]), room, "right"))
-                for i in near[:fit].tolist():
-                    take(i, made, held)
-                    held += 1
-                room -= int(size[near[:fit]].sum())
-        while (i := largest(int(np.searchsorted(sizes, room, "right")))) > 0:
-            i = int(by_size[i - 1])
-            take(i, made, held)
-            held += 1
-            room -= int(size[i])
+            unused.fill(near[np.argsort(-score[near], kind="stable")], made)
+        unused.top_up(made)
         made += 1
     return container, place
 
@@ -118,6 +167,93 @@ def _q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fill_corpus(items: DataFrame, capacity: int, idf: Broadcast, mean: float, column: np.ndarray, shard_texts: int) -> pa.Table:
+    """key, container and place of all ``items`` (key, rest, terms, counts); texts are numbered in the order of their keys."""
+    spark = items.sparkSession
+    listed = items.select("key", "rest").toArrow()
+    keys, size = (listed.column(c).to_numpy() for c in ("key", "rest"))
+    order = np.argsort(keys)
+    keys, size = keys[order], size[order]
+    # keys count up in each partition: a text's number is its place in its partition after those before
+    parts, first = np.unique(keys >> 33, return_index=True)
+    numbers = spark.sparkContext.broadcast((parts, first))
+    slim = items.select("key", "rest", "terms", "counts")
+    unused, made, waiting = Unused(size), 0, {}  # waiting: the seeds of open containers
+
+    def lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        term, count = (table.column(c).combine_chunks() for c in ("terms", "counts"))
+        long = term.value_lengths().to_numpy()
+        return long, term.flatten().to_numpy().astype(np.int64), count.flatten().to_numpy().astype(np.float64)
+
+    while unused.largest(capacity) >= 0:
+        # no more new containers than the texts need that the open ones have no room for
+        lack = int(size[unused.container < 0].sum()) - sum(unused.room.values())
+        new = unused.by_size[unused.container[unused.by_size] < 0][::-1][: max(not waiting, min(SEEDS - len(waiting), -(-lack // capacity)))]
+        seeds = np.r_[np.fromiter(waiting.values(), np.int64, len(waiting)), new]
+        rooms = np.r_[np.array([unused.room[c] for c in waiting], np.int64), capacity - size[new]]
+        asked_keys = spark.createDataFrame(pa.table({"key": keys[seeds]}))
+        table = slim.join(F.broadcast(asked_keys), "key", "left_semi").toArrow()
+        long, term, count = lists(table)
+        at = np.argsort(table.column("key").to_numpy())[np.searchsorted(np.sort(keys[seeds]), keys[seeds])]
+        ends = np.r_[0, np.cumsum(long)]
+        weight = weights(np.repeat(np.arange(len(long)), long), term, count, len(long), idf.value, mean)
+        asked = [term[ends[i] : ends[i + 1]][np.argsort(-weight[ends[i] : ends[i + 1]], kind="stable")[:ASKED]] for i in at.tolist()]
+        sent = spark.sparkContext.broadcast((asked, rooms, seeds, np.packbits(unused.container < 0)))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, rooms, seeds, free = sent.value
+            parts, first = numbers.value
+            best, who, more = np.zeros((len(seeds), NAMED), np.float32), np.full((len(seeds), NAMED), -1), np.zeros(len(seeds), np.int64)
+            for table in chunks(batches, shard_texts):
+                key = table.column("key").to_numpy()
+                number = first[np.searchsorted(parts, key >> 33)] + (key & ((1 << 33) - 1))
+                left = np.flatnonzero(free[number >> 3] >> (7 - (number & 7)).astype(np.uint8) & 1)
+                for some in (left[i : i + shard_texts] for i in range(0, len(left), shard_texts)):
+                    texts = table.take(pa.array(some))
+                    long, term, count = lists(texts)
+                    n, rest, mine = len(long), texts.column("rest").to_numpy(), number[some]
+                    owner = np.repeat(np.arange(n), long)
+                    weight = weights(owner, term, count, n, idf.value, mean)
+                    for a in range(0, len(seeds), BLOCK):
+                        block = slice(a, a + BLOCK)
+                        score = scores(np.array([len(t) for t in asked[block]]), np.concatenate(asked[block]), owner, term, weight, n, column)
+                        score[(rest[None, :] > rooms[block, None]) | (mine[None, :] == seeds[block, None])] = 0
+                        more[block] += (score > 0).sum(1)
+                        score = np.concatenate([best[block], score], axis=1)
+                        names = np.concatenate([who[block], np.broadcast_to(mine, (len(score), n))], axis=1)
+                        top = np.argpartition(-score, NAMED - 1, axis=1)[:, :NAMED]
+                        best[block], who[block] = np.take_along_axis(score, top, 1), np.take_along_axis(names, top, 1)
+            i, j = np.nonzero(best > 0)
+            # a list with more than it names says down to which score it is whole
+            cut = np.flatnonzero(more > NAMED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[i, cut].astype(np.int32)), pa.array(np.r_[who[i, j], np.full(len(cut), -1)]), pa.array(np.r_[best[i, j], best[cut].min(1)])], names=["seed", "number", "score"])
+
+        found = slim.mapInArrow(near, "seed int, number long, score float").toArrow()
+        sent.destroy()
+        seed, number, score = (found.column(c).to_numpy() for c in ("seed", "number", "score"))
+        bound = np.zeros(len(seeds), np.float32)
+        np.maximum.at(bound, seed[number < 0], score[number < 0])
+        sure = np.flatnonzero((number >= 0) & (score >= bound[seed]))
+        sure = sure[np.lexsort((number[sure], -score[sure], seed[sure]))]
+        number, span = number[sure], np.searchsorted(seed[sure], np.arange(len(seeds) + 1))
+        was = list(waiting)
+        for i, s in enumerate(seeds.tolist()):
+            if i >= len(was) and unused.container[s] >= 0:
+                continue
+            if i < len(was):
+                into = was[i]
+            else:
+                into, made = made, made + 1
+                unused.open(s, into, capacity)
+            unused.fill(number[span[i] : span[i + 1]], into)
+            if bound[i] > 0 and unused.largest(unused.room[into]) >= 0:
+                waiting[into] = s
+            else:
+                waiting.pop(into, None)
+                unused.top_up(into)
+    return pa.table({"key": keys, "container": unused.container, "place": unused.place})
+
+
 def pack(documents: DataFrame, capacity: int, counter: Counter, doc_id: str = "doc_id", text: str = "text", shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """container, place, doc_id, doc_size, piece, start, end: every text in tokens [start, end) of its pieces, written once to the shared folder."""
     if capacity < 1:
@@ -170,26 +306,13 @@ def pack(documents: DataFrame, capacity: int, counter: Counter, doc_id: str = "d
     frequency[held.column("term").to_numpy()] = held.column("n").to_numpy()
     idf = spark.sparkContext.broadcast(np.log1p((texts - frequency + 0.5) / (frequency + 0.5)))
     mean = words / max(texts, 1)
-    shards = max(1, -(-texts // shard_texts))
-
     rest = F.when(F.col("size") > capacity, F.pmod(F.col("size"), F.lit(capacity))).otherwise(F.col("size"))
-    items = vectors.withColumn("rest", rest).where((F.col("rest") > 0) | (F.col("size") == 0)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)))
+    items = vectors.withColumn("rest", rest).where((F.col("rest") > 0) | (F.col("size") == 0))
     placed = T.StructType([T.StructField("container", T.StringType()), T.StructField("place", T.LongType()), T.StructField("doc_id", kind), T.StructField("doc_size", T.LongType()), T.StructField("piece", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        carry: list[pa.Table] = []
-        for table in chunks(batches, 512):
-            while table.num_rows:
-                if carry and table.column("shard")[0].as_py() != carry[0].column("shard")[0].as_py():
-                    yield one(pa.concat_tables(carry))
-                    carry = []
-                same = int(pc.sum(pc.equal(table.column("shard"), table.column("shard")[0])).as_py())
-                carry.append(table.slice(0, same))
-                table = table.slice(same)
-        if carry:
-            yield one(pa.concat_tables(carry))
+        for table in chunks(batches, texts):
+            yield one(table)
 
     def one(table: pa.Table) -> pa.RecordBatch:
         size, whole = table.column("rest").to_numpy(), table.column("size").to_numpy()
@@ -197,11 +320,20 @@ def pack(documents: DataFrame, capacity: int, counter: Counter, doc_id: str = "d
         ends = np.r_[0, np.cumsum([len(x) for x in lists[0]])]
         term, times = (x.flatten().to_numpy().astype(np.int64) for x in lists)
         container, place = fill_shard(size, [term[a:b] for a, b in zip(ends[:-1], ends[1:])], [times[a:b] for a, b in zip(ends[:-1], ends[1:])], capacity, idf.value, mean)
-        shard = table.column("shard")[0].as_py()
         start = whole - size
-        return pa.RecordBatch.from_arrays([pa.array([f"s{shard}/{c}" for c in container.tolist()], pa.string()), pa.array(place), table.column("doc_id").combine_chunks(), pa.array(whole), pa.array(start // capacity), pa.array(start), pa.array(whole)], names=placed.names)
-
-    packed = items.repartition(min(shards, max(shuffle_partitions(spark), 1) * 64), "shard").sortWithinPartitions("shard", "doc_id", "row").mapInArrow(fill, placed)
+        return pa.RecordBatch.from_arrays([pa.array([f"s0/{c}" for c in container.tolist()], pa.string()), pa.array(place), table.column("doc_id").combine_chunks(), pa.array(whole), pa.array(start // capacity), pa.array(start), pa.array(whole)], names=placed.names)
+
+    if texts <= shard_texts:
+        packed = items.repartition(1).sortWithinPartitions("doc_id", "row").mapInArrow(fill, placed)
+    else:
+        often = np.flatnonzero(frequency > texts / 64)
+        column = np.full(TERMS, -1)
+        column[often] = np.arange(len(often))
+        parts = max(shuffle_partitions(spark), min(-(-texts // shard_texts), 100_000))
+        ordered = materialize(items.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").withColumn("key", F.monotonically_increasing_id()), "items")
+        held = spark.createDataFrame(fill_corpus(ordered, capacity, idf, mean, column, shard_texts))
+        packed = ordered.join(held, "key").withColumns({"container": F.concat(F.lit("s0/"), F.col("container").cast("string")), "doc_size": F.col("size"), "start": F.col("size") - F.col("rest")})
+        packed = packed.select("container", "place", "doc_id", "doc_size", F.floor(F.col("start") / F.lit(capacity)).alias("piece"), "start", F.col("size").alias("end"))
     full = vectors.where(F.col("size") > capacity).select("doc_id", "row", F.col("size").alias("doc_size"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / F.lit(capacity)) - 1)).alias("piece"))
     full = full.select(F.concat_ws("/", F.concat(F.lit("d"), F.hex("row")), F.col("piece").cast("string")).alias("container"), F.lit(0).cast("long").alias("place"), "doc_id", "doc_size", "piece", (F.col("piece") * capacity).alias("start"), ((F.col("piece") + 1) * capacity).alias("end"))
     return materialize(packed.unionByName(full), "containers")

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from kolonna.llm import packing
 from kolonna.llm.packing import TERMS, bpe_counter, byte_counter, container_fill, fill_shard, pack
 
 
@@ -50,6 +51,21 @@ def test_neighbours_share_words():
     assert sorted(zip(container, place)) == [(c, p) for c in range(32) for p in range(5)]
 
 
+def test_neighbours_are_found_in_the_whole_corpus(spark, monkeypatch):
+    # each text has one other of its own words; one is in the same twentieth of the corpus by chance only
+    texts = [(i, " ".join(f"w{i % 200:03d}{k:x}" for k in range(10)) + " and") for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(packing, "NAMED", 2)
+    for seeds in (2048, 30):
+        monkeypatch.setattr(packing, "SEEDS", seeds)
+        rows = pack(df, 2 * len(texts[0][1]) + 5, byte_counter, shard_texts=20).collect()
+        check(rows, texts, 2 * len(texts[0][1]) + 5, len)
+        mates = {}
+        for r in rows:
+            mates.setdefault(r.container, set()).add(r.doc_id % 200)
+        assert len(mates) == 200 and all(len(m) == 1 for m in mates.values())
+
+
 def test_repeats_one_shard_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c")] * 9 + [(None, "d")], "doc_id bigint, text string")
     rows = pack(df, 10, byte_counter).collect()
