@@ -3,7 +3,7 @@
 1. Every text is measured by a counter (bytes, or tokens of a public tokenizer) and reduced to the frequencies of its hashed words.
    A text longer than the capacity gives full containers of its own; only its rest is packed on.
 2. Document frequencies are counted over all texts. Words are hashed to ``TERMS`` numbers, so these statistics have a fixed size.
-3. The longest unused text is the seed of a container; the unused texts of the whole corpus that BM25 returns for it fill the container, best
+3. The longest unused text is the seed of a container; the unused texts of the whole corpus that BM25 over all its words returns fill the container, best
    first, as long as they fit; what room is left goes to the largest unused texts that fit, related or not.
 
 Up to ``SHARD_TEXTS`` texts are one shard, packed in a task. Beyond that seeds are taken ``SEEDS`` at a time: tasks score them against the unused
@@ -33,8 +33,8 @@ TERMS = 1 << 16
 SHARD_TEXTS = 2048
 #: Seeds looked up at once, in blocks for which a task holds all scores; the texts that a task names for a seed at once.
 SEEDS, BLOCK, NAMED = 2048, 256, 64
-#: BM25's constants, and the number of a seed's strongest words that are looked up.
-K1, B, ASKED = 1.2, 0.75, 24
+#: BM25's constants.
+K1, B = 1.2, 0.75
 
 Counter = Callable[[], Callable[[list[str]], list[int]]]
 
@@ -150,8 +150,7 @@ def fill_shard(size: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarra
     made = 0
     while (seed := unused.largest(capacity)) >= 0:
         unused.open(seed, made, capacity)
-        mine = slice(own[seed], own[seed + 1])
-        asked = term[mine][np.argsort(-weight[mine], kind="stable")[:ASKED]]
+        asked = term[own[seed] : own[seed + 1]]
         if unused.room[made] > 0 and len(asked):
             spans = [(begin[t], begin[t + 1]) for t in asked]
             docs = np.concatenate([posting_doc[a:b] for a, b in spans])
@@ -193,11 +192,10 @@ def fill_corpus(items: DataFrame, capacity: int, idf: Broadcast, mean: float, co
         rooms = np.r_[np.array([unused.room[c] for c in waiting], np.int64), capacity - size[new]]
         asked_keys = spark.createDataFrame(pa.table({"key": keys[seeds]}))
         table = slim.join(F.broadcast(asked_keys), "key", "left_semi").toArrow()
-        long, term, count = lists(table)
+        long, term, _ = lists(table)
         at = np.argsort(table.column("key").to_numpy())[np.searchsorted(np.sort(keys[seeds]), keys[seeds])]
         ends = np.r_[0, np.cumsum(long)]
-        weight = weights(np.repeat(np.arange(len(long)), long), term, count, len(long), idf.value, mean)
-        asked = [term[ends[i] : ends[i + 1]][np.argsort(-weight[ends[i] : ends[i + 1]], kind="stable")[:ASKED]] for i in at.tolist()]
+        asked = [term[ends[i] : ends[i + 1]] for i in at.tolist()]
         sent = spark.sparkContext.broadcast((asked, rooms, seeds, np.packbits(unused.container < 0)))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +217,10 @@ def fill_corpus(items: DataFrame, capacity: int, idf: Broadcast, mean: float, co
                         score = scores(np.array([len(t) for t in asked[block]]), np.concatenate(asked[block]), owner, term, weight, n, column)
                         score[(rest[None, :] > rooms[block, None]) | (mine[None, :] == seeds[block, None])] = 0
                         more[block] += (score > 0).sum(1)
-                        score = np.concatenate([best[block], score], axis=1)
-                        names = np.concatenate([who[block], np.broadcast_to(mine, (len(score), n))], axis=1)
-                        top = np.argpartition(-score, NAMED - 1, axis=1)[:, :NAMED]
+                        top = np.argpartition(score, -min(NAMED, n), axis=1)[:, -min(NAMED, n) :]
+                        score = np.concatenate([best[block], np.take_along_axis(score, top, 1)], axis=1)
+                        names = np.concatenate([who[block], mine[top]], axis=1)
+                        top = np.argpartition(score, -NAMED, axis=1)[:, -NAMED:]
                         best[block], who[block] = np.take_along_axis(score, top, 1), np.take_along_axis(names, top, 1)
             i, j = np.nonzero(best > 0)
             # a list with more than it names says down to which score it is whole

@@ -66,6 +66,16 @@ def test_neighbours_are_found_in_the_whole_corpus(spark, monkeypatch):
         assert len(mates) == 200 and all(len(m) == 1 for m in mates.values())
 
 
+@pytest.mark.parametrize("shard_texts", [2048, 2])
+def test_all_words_of_a_seed_are_looked_up(spark, shard_texts):
+    # the seed's thirty strongest words are its own; it shares its ten weakest with the smaller text
+    weak = " ".join(f"weak{k}" for k in range(10))
+    texts = [(1, " ".join(f"strong{k}" for k in range(30)) + " " + " ".join(f"strong{k}" for k in range(30)) + " " + weak), (2, weak), (3, "other " * 12)]
+    rows = pack(spark.createDataFrame(texts, "doc_id bigint, text string"), len(texts[0][1]) + 75, byte_counter, shard_texts=shard_texts).collect()
+    of = {r.doc_id: r.container for r in rows}
+    assert of[1] == of[2] != of[3]
+
+
 def test_repeats_one_shard_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c")] * 9 + [(None, "d")], "doc_id bigint, text string")
     rows = pack(df, 10, byte_counter).collect()
