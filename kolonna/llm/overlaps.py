@@ -237,6 +237,14 @@ def overlap_counts(runs: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
+def _named(counts: DataFrame, names: DataFrame) -> DataFrame:
+    """set_a, set_b (smaller first), size_a, size_b and shared of the pairs (a, b, shared)."""
+    x, y = (names.select(F.col("s").alias(k), F.col("name").alias(f"set_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    swap = F.col("set_a") > F.col("set_b")
+    ends = [F.when(swap, F.col(p)).otherwise(F.col(q)).alias(n) for p, q, n in (("set_b", "set_a", "set_a"), ("set_a", "set_b", "set_b"), ("size_b", "size_a", "size_a"), ("size_a", "size_b", "size_b"))]
+    return counts.join(x, "a").join(y, "b").select(*ends, "shared")
+
+
 def set_overlaps(df: DataFrame, set_column: str, id_column: str, share: float, min_size: int = 1, range_rows: int = RANGE_ROWS, crowd: int = CROWD) -> DataFrame:
     """set_a, set_b (smaller first), size_a, size_b, shared: all pairs that share at least ``share`` of the identifiers of both."""
     if not 0 < share <= 1:
@@ -245,11 +253,7 @@ def set_overlaps(df: DataFrame, set_column: str, id_column: str, share: float, m
     names = materialize(names, "names")
     pairs = materialize(candidate_pairs(runs, names, share, min_size, crowd), "pairs")
     counts = overlap_counts(runs, pairs, ranges)
-    x, y = (names.select(F.col("s").alias(k), F.col("name").alias(f"set_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
-    joined = counts.join(x, "a").join(y, "b").where((F.col("shared") >= share * F.col("size_a")) & (F.col("shared") >= share * F.col("size_b")))
-    swap = F.col("set_a") > F.col("set_b")
-    ends = [F.when(swap, F.col(p)).otherwise(F.col(q)).alias(n) for p, q, n in (("set_b", "set_a", "set_a"), ("set_a", "set_b", "set_b"), ("size_b", "size_a", "size_a"), ("size_a", "size_b", "size_b"))]
-    return joined.select(*ends, "shared")
+    return _named(counts, names).where((F.col("shared") >= share * F.col("size_a")) & (F.col("shared") >= share * F.col("size_b")))
 
 
 def given_overlaps(df: DataFrame, set_column: str, id_column: str, pairs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -258,3 +262,21 @@ def given_overlaps(df: DataFrame, set_column: str, id_column: str, pairs: DataFr
     asked = pairs.select(F.col(pairs.columns[0]).alias("set_a"), F.col(pairs.columns[1]).alias("set_b")).distinct().withColumns({"a": F.xxhash64("set_a"), "b": F.xxhash64("set_b")})
     counts = overlap_counts(runs, asked.where("set_a is not null and set_b is not null").select("a", "b").distinct(), ranges)
     return asked.join(counts, ["a", "b"], "left").select("set_a", "set_b", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def all_overlaps(df: DataFrame, set_column: str, id_column: str, crowd: int = CROWD) -> DataFrame:
+    """set_a, set_b (smaller first), size_a, size_b, shared: all pairs of sets, of any size, that share anything.
+
+    Members meet by identifier; one that more than ``crowd`` sets hold is cut into parts that meet in different tasks. The result has a
+    row a pair, and the work is the number of (pair, shared identifier).
+    """
+    there = df.where(_q(set_column).isNotNull() & _q(id_column).isNotNull())
+    members = materialize(there.select(F.xxhash64(_q(set_column)).alias("s"), F.xxhash64(_q(id_column)).alias("h")).distinct(), "members")
+    names = there.select(_q(set_column).alias("name")).distinct().withColumn("s", F.xxhash64("name"))
+    names = materialize(names.join(members.groupBy("s").agg(F.count(F.lit(1)).alias("size")), "s"), "names")
+    held = members.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("h", F.ceil(F.col("holders") / F.lit(crowd)).alias("parts"))
+    known = materialize(members.join(held, "h"), "known")
+    x = known.select("h", F.col("s").alias("a"), F.pmod(F.xxhash64("s"), "parts").alias("part"))
+    y = known.select("h", F.col("s").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    counts = x.join(y, ["h", "part"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return _named(counts, names)

@@ -80,9 +80,12 @@ PAIRS = f"""
     select {{}} from p where shared >= 0.25 * size_a and shared >= 0.25 * size_b"""
 
 
+def audience(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "impressions").select("site_id", "token").unionByName(table(spark, folder, "pix").select("site_id", "token")).where(AUDIENCE)
+
+
 def audience_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    audience = table(spark, folder, "impressions").select("site_id", "token").unionByName(table(spark, folder, "pix").select("site_id", "token"))
-    return overlaps.set_overlaps(audience.where(AUDIENCE), "site_id", "token", 0.25, 40).withColumnsRenamed({"set_a": "site_id_a", "set_b": "site_id_b"})
+    return overlaps.set_overlaps(audience(spark, folder), "site_id", "token", 0.25, 40).withColumnsRenamed({"set_a": "site_id_a", "set_b": "site_id_b"})
 
 
 @query(PAIRS.format("site_id_a, site_id_b"))
@@ -95,6 +98,15 @@ def p4_overlap_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return audience_overlaps(spark, folder)
 
 
+@query(f"""
+    with a as (select distinct site_id, token from (select site_id, token from impressions union all select site_id, token from pix) where {AUDIENCE}),
+    b as (select site_id, token, count(*) over (partition by site_id) as n from a)
+    select x.site_id as site_id_a, y.site_id as site_id_b, x.n as size_a, y.n as size_b, count(*) as shared from b x join b y on x.token = y.token and x.site_id < y.site_id group by all""")
+def p4_all_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of sites that share a token, however few and however small the sites."""
+    return overlaps.all_overlaps(audience(spark, folder), "site_id", "token").withColumnsRenamed({"set_a": "site_id_a", "set_b": "site_id_b"})
+
+
 # --- containers --------------------------------------------------------------------------------------------------------
 
 CAPACITY, TOKENS = 6000, 2048

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kolonna.llm.overlaps import BLOCK_SETS, candidate_pairs, common, decode_run, encode_run, gallop, given_overlaps, merge, set_overlaps, sorted_runs
+from kolonna.llm.overlaps import BLOCK_SETS, all_overlaps, candidate_pairs, common, decode_run, encode_run, gallop, given_overlaps, merge, set_overlaps, sorted_runs
 
 
 def test_runs_survive_encoding_and_both_ways_count_alike():
@@ -67,6 +67,16 @@ def test_pairs_in_crowded_identifiers_alone(spark, own, everywhere):
     assert got == brute(rows, 0.25, 1) and len(got) == 25 * 24 // 2
 
 
+def test_all_pairs_without_a_share(spark, rows):
+    small = [r for r in rows if r[0] not in ("hot", "big")] + [("tiny", "everywhere"), ("lone", "only here")]
+    df = spark.createDataFrame(small, "k string, i string")
+    want = {r for r in brute(small, 0, 1) if r[4]}
+    assert ("s0", "tiny") in {r[:2] for r in want}
+    for crowd in (512, 7):
+        got = [tuple(r) for r in all_overlaps(df, "k", "i", crowd).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_given_pairs_and_empty(spark, rows):
     df = spark.createDataFrame(rows, "k string, i string")
     pairs = spark.createDataFrame([("hot", "big"), ("s0", "s1"), ("nobody", "hot"), (None, "s1")], "x string, y string")
