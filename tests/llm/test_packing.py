@@ -4,8 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from kolonna.llm import packing
-from kolonna.llm.packing import TERMS, bpe_counter, byte_counter, container_fill, fill_shard, pack
+from kolonna.llm.packing import TERMS, Index, bpe_counter, byte_counter, container_fill, fill_shard, pack, rarest
 
 
 def check(rows, texts, capacity, measure):
@@ -43,7 +42,8 @@ def test_neighbours_share_words():
     topics = [rng.choice(TERMS, 30, replace=False) for _ in range(8)]
     terms = [np.sort(rng.choice(topics[i % 8], 15, replace=False)) for i in range(160)]
     counts = [np.ones(15, np.int64)] * 160
-    container, place = fill_shard(np.full(160, 50), terms, counts, 250, np.ones(TERMS), 15.0)
+    index = Index(np.full(160, 15), np.concatenate(terms), np.concatenate(counts).astype(float), np.ones(TERMS), 15.0)
+    container, place = fill_shard(np.full(160, 50), index, 250)
     assert (np.bincount(container) == 5).all()
     topic = np.arange(160) % 8
     together = np.mean([len(set(topic[container == c])) for c in range(32)])
@@ -51,19 +51,37 @@ def test_neighbours_share_words():
     assert sorted(zip(container, place)) == [(c, p) for c in range(32) for p in range(5)]
 
 
-def test_neighbours_are_found_in_the_whole_corpus(spark, monkeypatch):
+def test_neighbours_are_found_in_the_whole_corpus(spark):
     # each text has one other of its own words; one is in the same twentieth of the corpus by chance only
     texts = [(i, " ".join(f"w{i % 200:03d}{k:x}" for k in range(10)) + " and") for i in range(400)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
-    monkeypatch.setattr(packing, "NAMED", 2)
-    for seeds in (2048, 30):
-        monkeypatch.setattr(packing, "SEEDS", seeds)
-        rows = pack(df, 2 * len(texts[0][1]) + 5, byte_counter, shard_texts=20).collect()
-        check(rows, texts, 2 * len(texts[0][1]) + 5, len)
-        mates = {}
-        for r in rows:
-            mates.setdefault(r.container, set()).add(r.doc_id % 200)
-        assert len(mates) == 200 and all(len(m) == 1 for m in mates.values())
+    rows = pack(df, 2 * len(texts[0][1]) + 5, byte_counter, shard_texts=20).collect()
+    check(rows, texts, 2 * len(texts[0][1]) + 5, len)
+    mates = {}
+    for r in rows:
+        mates.setdefault(r.container, set()).add(r.doc_id % 200)
+    assert len(mates) == 200 and all(len(m) == 1 for m in mates.values())
+
+
+def test_scores_are_bm25_over_all_words():
+    rng = np.random.default_rng(5)
+    terms = [np.unique(rng.zipf(1.4, rng.integers(0, 60)) % 500) for _ in range(120)]
+    counts = [rng.integers(1, 5, len(t)).astype(float) for t in terms]
+    idf = rng.random(500) + 0.1
+    index = Index(np.array([len(t) for t in terms]), np.concatenate(terms), np.concatenate(counts), idf, 40.0)
+    seeds = np.array([3, 77, 119])
+    for seed, got in zip(seeds, index.scores(seeds)):
+        for other in range(120):
+            both = np.isin(terms[other], terms[seed])
+            length = counts[other].sum()
+            want = (idf[terms[other]] * counts[other] * 2.2 / (counts[other] + 1.2 * (0.25 + 0.75 * length / 40.0)))[both].sum()
+            assert abs(want - got[other]) < 1e-3 * max(1, want)
+
+
+def test_rarest_terms():
+    idf = np.array([0.5, 3.0, 2.0, 2.0, 1.0])  # term 1 is in one text only
+    found = rarest(np.array([5, 0, 1, 2]), np.array([0, 1, 2, 3, 4, 1, 0, 4]), idf, 3.0)
+    assert found.tolist() == [[2, 3, 4], [-1, -1, -1], [-1, -1, -1], [4, 0, -1]]
 
 
 @pytest.mark.parametrize("shard_texts", [2048, 2])
