@@ -3,12 +3,14 @@
 Identifiers are hashed to 64 bits and the hash space is cut into ranges. In each range every set is one sorted run, stored as
 bit-packed differences. A pair's count is the sum over ranges of the counts of its two runs: a linear merge if their sizes are near,
 an exponential (galloping) search of the larger run for the elements of the smaller one otherwise. A task holds the runs of one range only, so
-memory does not depend on how large a set is, and a set that holds a third of all rows is spread over all ranges.
-
-Which pairs to count: those given, or all that can reach ``share`` of both sets. For the latter the least hash of a set in each of
-256 bins is its signature; bins agree with the probability of the sets' Jaccard similarity. A pair is counted
-exactly if it agrees in 0.3 of the bins to be expected at the limit (at least one): a pair at the limit is missed with a
-probability of some 1e-4, one clearly above it practically never. All bins count. Signature values that more than ``CROWD`` sets share
+memory does not depend on how large a set is, and a set that holds a third of all rows is spread over all ranges. A pair goes only to the
+ranges in which both sets have a run, and pairs stream past the runs.
+
+Which pairs to count: those given, or all that can share ``share`` of their union. For the latter a set's signature is the least of its hashes in each of
+256 bins, or all its hashes if these are no more than 256. Bins agree with the probability of the sets' Jaccard similarity, and a pair is counted
+exactly if it agrees in 0.3 of those to be expected at the limit (at least one). Of two sets of at most 256 no pair can be missed; of larger
+ones a pair at the limit with a probability below 1e-9 for a share of 0.25 (3e-4 for 0.05; the fewer agreements are expected, the more chance
+decides). All bins count. Signature values that more than ``CROWD`` sets share
 (identifiers found nearly everywhere) are not joined by value, which would pile up in few tasks: the sets that hold any are cut
 into blocks of near sizes, and a task counts the agreements in such values for two blocks.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from kolonna.runtime import chunks, materialize, shuffle_partitions
 
 #: Identifiers in a range; a task holds the runs of one.
-RANGE_ROWS = 1 << 21
+RANGE_ROWS = 1 << 19
 BINS, SLACK, CROWD = 256, 0.3, 512
 #: Sets in a block where agreements in crowded values are counted; a task holds two blocks.
 BLOCK_SETS = 1024
@@ -125,7 +127,8 @@ def sorted_runs(df: DataFrame, set_column: str, id_column: str, range_rows: int
         start = np.flatnonzero(new)
         end = np.r_[start[1:], len(s)]
         bins = h >> np.uint64(56)
-        least = np.flatnonzero(new | np.r_[True, bins[1:] != bins[:-1]])
+        # a run of few hashes lists them all: a small set is its own signature
+        least = np.flatnonzero(new | np.r_[True, bins[1:] != bins[:-1]] | np.repeat(end - start <= BINS, end - start))
         offsets = np.searchsorted(least, np.r_[start, len(s)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[least].view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(s[start]), pa.array((end - start).astype(np.int32)), pa.array([encode_run(h[a:b]) for a, b in zip(start, end)], pa.binary()), lists], names=["part", "s", "n", "run", "least"])
@@ -178,13 +181,14 @@ def crowded_pairs(crowded: DataFrame, share: float, needed: Callable[[np.ndarray
 
 
 def candidate_pairs(runs: DataFrame, names: DataFrame, share: float, min_size: int, crowd: int = CROWD, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(a, b) of all sets of at least ``min_size`` that can share ``share`` of both."""
+    """(a, b) of all sets of at least ``min_size`` that can share ``share`` of their union."""
     sets = names.where(F.col("size") >= min_size).select("s", "size")
-    signature = runs.select("s", F.explode("least").alias("h")).groupBy("s", F.shiftrightunsigned("h", 56).alias("bin")).agg(F.min("h").alias("h"))
-    signature = materialize(signature.join(sets, "s").select("s", "h", "size"), "signature")
+    listed = runs.select("s", "least").join(sets, "s").select("s", "size", F.explode("least").alias("h"))
+    # the bin of a large set's hash is its upper byte, a small set's hashes are bins of their own
+    listed = listed.withColumn("bin", F.when(F.col("size") > BINS, F.shiftrightunsigned("h", 56)).otherwise(F.col("h")))
+    signature = materialize(listed.groupBy("s", "size", "bin").agg(F.min("h").alias("h")).select("s", "h", "size"), "signature")
     holders = signature.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     known = signature.join(holders, "h")
-    limit = share / (2 - share)
 
     def fits(x: str, y: str) -> Column:
         return (F.col(f"{x}.s") < F.col(f"{y}.s")) & (F.col(f"{x}.size") >= share * F.col(f"{y}.size")) & (F.col(f"{y}.size") >= share * F.col(f"{x}.size"))
@@ -192,7 +196,7 @@ def candidate_pairs(runs: DataFrame, names: DataFrame, share: float, min_size: i
     shared = known.where((F.col("holders") <= crowd)).select("s", "h", "size")
     agree = shared.alias("x").join(shared.alias("y"), (F.col("x.h") == F.col("y.h")) & fits("x", "y"))
     bins = BINS * (1 - F.exp(-F.greatest("x.size", "y.size") / float(BINS)))
-    agree = agree.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.floor(SLACK * limit * bins).alias("least"))
+    agree = agree.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.floor(SLACK * share * bins).alias("least"))
     agree = agree.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
     crowded = materialize(known.where(F.col("holders") > crowd).groupBy("s", "size").agg(F.collect_list("h").alias("hs")), "crowded")
     if crowded.isEmpty():
@@ -201,40 +205,51 @@ def candidate_pairs(runs: DataFrame, names: DataFrame, share: float, min_size: i
     agree = materialize(agree, "agree")
     x, y = (crowded.select(F.col("s").alias(k), F.col("hs").alias(f"hs_{k}")) for k in "ab")
     both = agree.where("n < least").join(x, "a").join(y, "b").where(F.col("n") + F.size(F.array_intersect("hs_a", "hs_b")) >= F.col("least"))
-    alone = crowded_pairs(crowded, share, lambda size: np.floor(SLACK * limit * BINS * (1 - np.exp(-size / float(BINS)))), block_sets)
+    alone = crowded_pairs(crowded, share, lambda size: np.floor(SLACK * share * BINS * (1 - np.exp(-size / float(BINS)))), block_sets)
     return agree.where("n >= least").select("a", "b").union(both.select("a", "b")).union(alone).distinct()
 
 
 def overlap_counts(runs: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
     """(a, b, shared) of the pairs (a, b) that share anything."""
-    spread = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     slim = runs.select("part", "s", "run").join(wanted, "s", "left_semi")
-
-    def count(run: pa.Table, pair: pa.Table) -> pa.Table:
-        ids, blobs = run.column("s").to_numpy(), run.column("run")
-        order = np.argsort(ids)
-        ids = ids[order]
-        a, b = pair.column("a").to_numpy(), pair.column("b").to_numpy()
-        sorts = np.lexsort((b, a))
-        a, b = a[sorts], b[sorts]
-        if not len(ids) or not len(a):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "shared": pa.array([], pa.int64())})
-        at, bt = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b))
-        both = np.flatnonzero((ids[at] == a) & (ids[bt] == b))
+    there = slim.select("part", "s")
+    meet = pairs.join(there.withColumnRenamed("s", "a"), "a").join(there.withColumnRenamed("s", "b"), ["part", "b"])
+    rows = slim.select("part", F.lit(0).alias("kind"), F.col("s").alias("a"), F.lit(0).cast("long").alias("b"), "run")
+    rows = rows.unionByName(meet.select("part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("run")))
+    # in each range first the runs, then the pairs
+    ordered = rows.repartition(max(shuffle_partitions(runs.sparkSession), min(ranges, 100_000)), "part").sortWithinPartitions("part", "kind", "a", "b")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: int | None = None
+        encoded: dict[int, bytes] = {}
         decoded: dict[int, np.ndarray] = {}
 
-        def values(i: int) -> np.ndarray:
-            if i not in decoded:
-                decoded[i] = decode_run(blobs[int(order[i])].as_py())
-            return decoded[i]
+        def values(s: int) -> np.ndarray:
+            if s not in decoded:
+                decoded[s] = decode_run(encoded.pop(s))
+            return decoded[s]
+
+        for batch in batches:
+            part, kind, a, b = (batch.column(i).to_numpy() for i in range(4))
+            for first, last in _spans(part, kind):
+                if int(part[first]) != here:
+                    here, encoded, decoded = int(part[first]), {}, {}
+                if not kind[first]:
+                    encoded |= zip(a[first:last].tolist(), batch.column(4).slice(first, last - first).to_pylist())
+                    continue
+                found = np.array([common(values(x), values(y)) for x, y in zip(a[first:last].tolist(), b[first:last].tolist())], np.int64)
+                some = found > 0
+                yield pa.RecordBatch.from_arrays([pa.array(a[first:last][some]), pa.array(b[first:last][some]), pa.array(found[some])], names=["a", "b", "shared"])
+
+    return ordered.mapInArrow(count, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
-        found = np.array([common(values(i), values(j)) for i, j in zip(at[both].tolist(), bt[both].tolist())], np.int64)
-        some = found > 0
-        return pa.table({"a": a[both][some], "b": b[both][some], "shared": found[some]})
 
-    counted = slim.groupBy("part").cogroup(spread.groupBy("part")).applyInArrow(count, "a long, b long, shared long")
-    return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+def _spans(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """[from, to) of the runs of rows that are equal in all columns."""
+    new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)][: len(columns[0])]
+    start = np.flatnonzero(new)
+    return list(zip(start.tolist(), [*start[1:].tolist(), len(columns[0])]))
 
 
 def _named(counts: DataFrame, names: DataFrame) -> DataFrame:
@@ -246,14 +261,14 @@ def _named(counts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def set_overlaps(df: DataFrame, set_column: str, id_column: str, share: float, min_size: int = 1, range_rows: int = RANGE_ROWS, crowd: int = CROWD) -> DataFrame:
-    """set_a, set_b (smaller first), size_a, size_b, shared: all pairs that share at least ``share`` of the identifiers of both."""
+    """set_a, set_b (smaller first), size_a, size_b, shared: all pairs that share at least ``share`` of the identifiers that either has."""
     if not 0 < share <= 1:
         raise ValueError("share lies above 0 and at most at 1")
     runs, names, ranges = sorted_runs(df, set_column, id_column, range_rows)
     names = materialize(names, "names")
     pairs = materialize(candidate_pairs(runs, names, share, min_size, crowd), "pairs")
     counts = overlap_counts(runs, pairs, ranges)
-    return _named(counts, names).where((F.col("shared") >= share * F.col("size_a")) & (F.col("shared") >= share * F.col("size_b")))
+    return _named(counts, names).where(F.col("shared") >= share * (F.col("size_a") + F.col("size_b") - F.col("shared")))
 
 
 def given_overlaps(df: DataFrame, set_column: str, id_column: str, pairs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kolonna.llm import distinct, leaks, overlaps, packing, percentiles, spans
 from kolonna.plans.registry import Registry, table
@@ -77,7 +78,7 @@ PAIRS = f"""
     n as (select site_id, count(*) as n from a group by site_id having count(*) >= 40),
     b as (select site_id, token, n from a join n using (site_id)),
     p as (select x.site_id as site_id_a, y.site_id as site_id_b, x.n as size_a, y.n as size_b, count(*) as shared from b x join b y on x.token = y.token and x.site_id < y.site_id group by all)
-    select {{}} from p where shared >= 0.25 * size_a and shared >= 0.25 * size_b"""
+    select {{}} from p where shared >= 0.25 * (size_a + size_b - shared)"""
 
 
 def audience(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,6 +108,20 @@ def p4_all_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return overlaps.all_overlaps(audience(spark, folder), "site_id", "token").withColumnsRenamed({"set_a": "site_id_a", "set_b": "site_id_b"})
 
 
+@query(f"""
+    with i as (select distinct site_id, token from impressions where {AUDIENCE}), p as (select distinct site_id, token from pix where {AUDIENCE}),
+    s as (select site_id from i union select site_id from p), b as (select site_id, count(*) as n from i join p using (site_id, token) group by site_id)
+    select site_id, coalesce(n, 0) as shared from s left join b using (site_id)""")
+def p4_site_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each site, how many visitors of its impressions are among those of its pixels: pairs that are given."""
+    parts = [table(spark, folder, t).where(AUDIENCE).select("site_id", F.concat(F.lit(f"{t} "), "site_id").alias("set"), "token") for t in ("impressions", "pix")]
+    both = parts[0].unionByName(parts[1])
+    sites = both.select("site_id").distinct()
+    pairs = sites.select(F.concat(F.lit("impressions "), "site_id").alias("a"), F.concat(F.lit("pix "), "site_id").alias("b"))
+    counted = overlaps.given_overlaps(both, "set", "token", pairs)
+    return counted.select(F.expr("substring(set_a, 13)").alias("site_id"), "shared")
+
+
 # --- containers --------------------------------------------------------------------------------------------------------
 
 CAPACITY, TOKENS = 6000, 2048
@@ -137,6 +152,16 @@ def p6_token_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_fill(token_containers(spark, folder), TOKENS)
 
 
+@query(f"""
+    with d as (select doc_id, octet_length(encode(coalesce(text, ''))) as doc_size from documents)
+    select doc_id, doc_size, doc_size as covered, cast(greatest(1, ceil(doc_size / {CAPACITY}.0)) as bigint) as pieces, greatest(0, least(doc_size, {CAPACITY})) as longest from d""")
+def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """What the containers hold of each text: all of it, in one piece unless it is longer than a container."""
+    packed = packing.pack(table(spark, folder, "documents"), CAPACITY, packing.byte_counter)
+    size = F.col("end") - F.col("start")
+    return packed.groupBy("doc_id", "doc_size").agg(F.sum(size).alias("covered"), F.count_distinct("piece").alias("pieces"), F.max(size).alias("longest"))
+
+
 # --- leaked evaluation passages ----------------------------------------------------------------------------------------
 
 PLAIN = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"

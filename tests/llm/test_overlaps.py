@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kolonna.llm.overlaps import BLOCK_SETS, all_overlaps, candidate_pairs, common, decode_run, encode_run, gallop, given_overlaps, merge, set_overlaps, sorted_runs
 
@@ -21,7 +23,7 @@ def brute(rows, share, least):
         if s is not None and i is not None:
             sets.setdefault(s, set()).add(i)
     names = sorted(s for s in sets if len(sets[s]) >= least)
-    return {(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for k, a in enumerate(names) for b in names[k + 1 :] if len(sets[a] & sets[b]) >= share * max(len(sets[a]), len(sets[b]))}
+    return {(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for k, a in enumerate(names) for b in names[k + 1 :] if len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])}
 
 
 @pytest.fixture(scope="module")
@@ -62,9 +64,31 @@ def test_pairs_in_crowded_identifiers_alone(spark, own, everywhere):
     df = spark.createDataFrame(rows, "k string, i string")
     for block_sets in (BLOCK_SETS, 5):
         runs, names, _ = sorted_runs(df, "k", "i")
-        assert candidate_pairs(runs, names, 0.25, 1, crowd=8, block_sets=block_sets).count() == 25 * 24 // 2
-    got = {tuple(r) for r in set_overlaps(df, "k", "i", 0.25, crowd=8).collect()}
-    assert got == brute(rows, 0.25, 1) and len(got) == 25 * 24 // 2
+        assert candidate_pairs(runs, names, 0.19, 1, crowd=8, block_sets=block_sets).count() == 25 * 24 // 2
+    got = {tuple(r) for r in set_overlaps(df, "k", "i", 0.19, crowd=8).collect()}
+    assert got == brute(rows, 0.19, 1) and len(got) == 25 * 24 // 2
+
+
+def test_no_pair_is_lost_at_the_default_crowd(spark):
+    # more sets than CROWD share their common identifiers, and nothing else
+    n = 560
+    sets = spark.range(n).select(F.concat(F.lit("s"), "id").alias("k"), F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("c"), i.cast("string"))), F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.concat("id", F.lit("-"), i.cast("string"))))).alias("i"))
+    found = set_overlaps(sets, "k", "i", 0.2, 40).agg(F.count(F.lit(1)), F.min("shared"), F.max("shared")).collect()[0]
+    assert tuple(found) == (n * (n - 1) // 2, 15, 15)
+
+
+def test_recall_of_large_sets_at_the_limit(spark):
+    # 60 pairs of sets of 500 to 5,000 identifiers that share a little more than a quarter of their union
+    rng = np.random.default_rng(9)
+    rows, want = [], set()
+    for p in range(60):
+        shared = int(rng.integers(200, 2000))
+        own = int(shared * 1.45)
+        for side in "ab":
+            rows += [(f"{p}{side}", f"{p}-{i}") for i in range(shared)] + [(f"{p}{side}", f"{p}{side}{i}") for i in range(own)]
+        want.add((f"{p}a", f"{p}b"))
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "i"]))
+    assert {(r[0], r[1]) for r in set_overlaps(df, "k", "i", 0.25, 40).collect()} == want
 
 
 def test_all_pairs_without_a_share(spark, rows):
