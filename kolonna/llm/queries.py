@@ -182,7 +182,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(spark, folder).select("doc_id", "item_id")
 
 
-@query()
+@query(f"""
+    with d as (select doc_id, string_split({PLAIN}, ' ') as w from documents), x as (select item_id, string_split({PLAIN}, ' ') as w from eval_items),
+    dg as (select doc_id, i - 1 as dp, array_to_string(w[i:i + 11], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
+    xg as (select item_id, i - 1 as ip, array_to_string(w[i:i + 11], ' ') as gram from (select item_id, w, unnest(range(1, len(w) - 10)) as i from x)),
+    h as (select doc_id, item_id, dp, ip, dp - ip as diagonal, dp - row_number() over (partition by doc_id, item_id, dp - ip order by dp) as run from dg join xg using (gram)),
+    m as (select doc_id, item_id, cast(count(*) + 11 as integer) as matched_words, min(dp) as doc_word, min(ip) as item_word from h group by doc_id, item_id, diagonal, run)
+    select * from m qualify row_number() over (partition by doc_id, item_id order by matched_words desc, doc_word, item_word) = 1""")
 def p7_longest_matches(spark: SparkSession, folder: str) -> DataFrame:
     """The longest verbatim match of each affected document and item, and where it begins."""
     return leaked(spark, folder)

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from kolonna.llm import leaks
-from kolonna.llm.leaks import find_in_shard, find_leaks, search, suffix_array, without_leaks
+from kolonna.llm.leaks import Passages, Shard, find_leaks, search, suffix_array, without_leaks
 
 
 def test_suffix_array_sorts_and_searches():
@@ -76,7 +77,35 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
 
 def test_places_and_empty(spark):
     text, item = "zero one two three four five six", "nine two three four five ten"
-    assert [x.tolist() for x in find_in_shard([text], [item.split()], 3)] == [[0], [0], [4], [2], [1]]
+    assert [x.tolist() for x in Shard(pa.array([text]), 3, 1 << 20, 10).find(Passages(pa.array([item])))] == [[0], [0], [4], [2], [1]]
+    # of equally long matches the first in the document, then the first in the passage
+    assert [x.tolist() for x in Shard(pa.array([None, "b c x a b y b c"]), 2, 1 << 20, 10).find(Passages(pa.array(["a b b c b c"])))] == [[1], [0], [2], [0], [2]]
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     assert find_leaks(docs, items).count() == 0
     assert find_leaks(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string"), items.limit(0), words=1).count() == 0
+
+
+def test_long_passages_and_shared_formulas(spark, monkeypatch):
+    """One passage of 20,000 words, and a formula that all passages and documents hold, many times over; in slices and blocks of small size."""
+    rng = random.Random(8)
+    long = [f"w{rng.randint(0, 5000)}" for _ in range(20_000)]
+    formula = "with the leave of the house i shall now read the whole of the order paper again"
+    docs = [(0, " ".join(long[100:19_000])), (1, " ".join(long[:30] + ["x"] + long[40:90]))] + [(i, f"d{i} " + f" y{i} ".join([formula] * 30)) for i in range(2, 40)]
+    items = [(0, " ".join(long))] + [(i, f"i{i} " + f" z{i} ".join([formula] * 4)) for i in range(1, 60)]
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(leaks, "SLICE", 50)
+    found = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.doc_word, r.item_word) for r in found.collect()}
+    n = len(formula.split())
+    want = {(d, i): (n, 1, 1) for d in range(2, 40) for i in range(1, 60)}
+    assert got == want | {(0, 0): (18_900, 0, 100), (1, 0): (50, 31, 40)}
+
+
+def test_hits_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts, items = ([" ".join(rng.choice(list("abc"), n)) for n in rng.integers(0, 60, count)] for count in (30, 20))
+    whole = [x.tolist() for x in Shard(pa.array(texts), 4, 1 << 20, 60).find(Passages(pa.array(items)))]
+    monkeypatch.setattr(leaks, "SLICE", 3)
+    assert [x.tolist() for x in Shard(pa.array(texts), 4, 25, 60).find(Passages(pa.array(items)))] == whole
+    want = brute(list(enumerate(texts)), list(enumerate(items)), 4)
+    assert dict(zip(zip(whole[0], whole[1]), whole[2])) == want
