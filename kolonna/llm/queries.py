@@ -219,6 +219,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_pairs(windows(spark, folder))
 
 
+@query(f"""{WINDOWS}, sets as (select distinct docs from (select h, list(doc_id order by doc_id) as docs from d where h in (select h from many) group by h))
+    select doc_id, first_doc, docs, count(*) as classes from (select unnest(docs) as doc_id, docs[1] as first_doc, cast(len(docs) as bigint) as docs from sets) group by all""")
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with the classes it is in: the sets of documents that have a span in common, without making pairs."""
+    return spans.shared_classes(windows(spark, folder))
+
+
 @query(f"""{WINDOWS}, p as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w where h in (select h from many)),
     c as (select doc_id, sum(least(300, coalesce(i - before, 300))) as n, count(*) filter (before is null or i - before > 300) as stretches from p group by doc_id)
     select doc_id, length(text) as chars, cast(coalesce(n, 0) as bigint) as shared_chars, coalesce(stretches, 0) as stretches, case when length(text) > 0 then coalesce(n, 0) / length(text) else 0.0 end as share

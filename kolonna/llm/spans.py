@@ -8,9 +8,10 @@ Equal windows have equal minimisers, so they always meet, wherever they come fro
    several, of a size that follows their number up to a fixed bound, goes to the tasks: strings travel only where it has a bit.
 2. The second pass sends the strings. A bucket that holds more strings than ``CROWD`` (a formula repeated all over the corpus) is
    not gathered: its windows go on as hashes and are counted by a plain aggregation, which combines before it shuffles.
-   Minimisers that hold more than one in ``HOT`` of all strings take that way from the start.
+   Minimisers that hold more than one in ``HOT`` of all strings take that way wherever they come up: their strings go to many tasks.
 3. Windows found in the same set of documents are one class; only one window of a class is kept, so a span of a thousand windows
-   costs as much as one of a single window.
+   costs as much as one of a single window. Classes with their members are the result that stays small; pairs are made of them on
+   demand, the members of a class of more than ``PART`` documents in parts that meet in different tasks.
 
 Windows are compared by two independent 64-bit hashes. Defined results: texts are compared as stored, by code point; null texts,
 texts below ``k`` characters and documents without an id share nothing; a document repeated under its id, or a span repeated
@@ -34,6 +35,8 @@ K, M = 300, 128
 CHUNK_BYTES, RUN = 1 << 18, 4096
 #: Strings of a bucket that are gathered; share of all strings from which a minimiser is hot; bits of the bitmap at most.
 CROWD, HOT, MAX_BITS = 4096, 10_000, 1 << 28
+#: Tasks over which the strings of a hot minimiser are spread; members of a class that meet the others in one task.
+SALTS, PART = 1024, 512
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -240,7 +243,7 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             least = table.column("minimiser").to_numpy()
             begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
             size = np.diff(np.r_[begin, len(least)])
-            crowded = (size > crowd) | (least[begin] == passing if passing is not None else False)
+            crowded = (size > crowd) | np.isin(least[begin], heavy) | (least[begin] == passing if passing is not None else False)
             last = int(begin[-1])
             rows = np.repeat(crowded, size)
             if crowded[-1]:
@@ -258,20 +261,13 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 least = table.column("minimiser").to_numpy()
                 for whole in pieces(table, "string", CHUNK_BYTES, np.flatnonzero(np.r_[True, least[1:] != least[:-1]])):
                     yield from gather(whole)
-        if carry is not None and carry.num_rows > 1:
+        if carry is not None and carry.num_rows > 1:  # a hot minimiser is never carried
             yield from gather(carry)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, 1 << 21, lambda b: b.column(3).nbytes):
-            yield from as_windows(table)
-
     sent = slim.mapInArrow(second, strings)
-    is_hot = F.col("minimiser").isin(heavy.tolist()) if len(heavy) else F.lit(False)
-    buckets = sent.where(~is_hot).repartition(shuffle_partitions(spark), "minimiser").sortWithinPartitions("minimiser", "doc", "start")
-    counted = buckets.mapInArrow(count, found)
-    if len(heavy):
-        counted = counted.unionByName(sent.where(is_hot).mapInArrow(spread, found))
-    counted = materialize(counted, "windows")
+    salt = F.when(F.col("minimiser").isin(heavy.tolist()), F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS))).otherwise(F.lit(0)) if len(heavy) else F.lit(0)
+    buckets = sent.withColumn("salt", salt).repartition(shuffle_partitions(spark), "minimiser", "salt").drop("salt").sortWithinPartitions("minimiser", "doc", "start")
+    counted = materialize(buckets.mapInArrow(count, found), "windows")
 
     # windows of crowded buckets: the same counting as aggregations
     crowded = counted.where("kind = 2").select("doc", "a", "b", "start")
@@ -283,12 +279,31 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     return counted.where("kind < 2").select("kind", "doc", "a", "b").unionByName(members).unionByName(places)
 
 
-def shared_pairs(windows: DataFrame) -> DataFrame:
+def _classes(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, class members: a, b, doc; one row a class: a, b, docs, first_doc) of the different sets of documents that share a window."""
+    members = windows.where("kind = 0").select("a", "b", "doc").distinct()
+    sets = members.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first_doc"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(2))).alias("y"))
+    # one set can come from a gathered bucket and from a crowded one
+    once = sets.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("w"), F.first("docs").alias("docs"), F.first("first_doc").alias("first_doc"))
+    return members, once.select("w.a", "w.b", "docs", "first_doc")
+
+
+def shared_classes(windows: DataFrame) -> DataFrame:
+    """doc_id, first_doc, docs, classes: of every document the classes it is in, by their least document and number of documents, and how many such classes.
+
+    A class is a set of documents that have a window in common; its pairs are its members' with each other.
+    """
+    members, sets = _classes(windows)
+    return members.join(sets, ["a", "b"]).groupBy(F.col("doc").alias("doc_id"), "first_doc", "docs").agg(F.count(F.lit(1)).alias("classes"))
+
+
+def shared_pairs(windows: DataFrame, part: int = PART) -> DataFrame:
     """doc_id_a, doc_id_b (smaller first): every pair of documents with a common span."""
-    members = windows.where("kind = 0").select("doc", "a", "b").distinct()
-    x, y = members.alias("x"), members.alias("y")
-    joined = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.doc") < F.col("y.doc")))
-    return joined.select(F.col("x.doc").alias("doc_id_a"), F.col("y.doc").alias("doc_id_b")).distinct()
+    members, sets = _classes(windows)
+    known = materialize(members.join(sets.select("a", "b", F.ceil(F.col("docs") / F.lit(part)).alias("parts")), ["a", "b"]), "members")
+    x = known.select("a", "b", F.col("doc").alias("doc_id_a"), F.pmod(F.xxhash64("doc"), "parts").alias("part"))
+    y = known.select("a", "b", F.col("doc").alias("doc_id_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return x.join(y, ["a", "b", "part"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
 
 
 def shared_stretches(windows: DataFrame, k: int = K) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from kolonna.llm.spans import piece_hashes, shared_pairs, shared_shares, shared_stretches, shared_windows, string_windows, super_kmers, window_minima
+from kolonna.llm.spans import piece_hashes, shared_classes, shared_pairs, shared_shares, shared_stretches, shared_windows, string_windows, super_kmers, window_minima
 
 K = 20
 
@@ -51,6 +51,19 @@ def brute(docs, k=K):
     return pairs, cover
 
 
+def classes(docs, k=K):
+    at = {}
+    for d, text in docs:
+        for i in range(len(text or "") - k + 1):
+            at.setdefault(text[i : i + k], set()).add(d)
+    out = {}
+    for members in {frozenset(m) for m in at.values() if len(m) > 1}:
+        for d in members:
+            key = (d, min(members), len(members))
+            out[key] = out.get(key, 0) + 1
+    return out
+
+
 @pytest.fixture(scope="module")
 def docs():
     rng = random.Random(7)
@@ -73,7 +86,10 @@ def test_spans_equal_brute_force(spark, docs, crowd, hot):
     pairs, cover = brute(docs)
     df = spark.createDataFrame([(d, t, "c") for d, t in docs] + [(93, docs[1][1], "again")], "doc_id bigint, text string, kind string").repartition(4)
     windows = shared_windows(df, k=K, m=6, crowd=crowd, hot=hot)
-    assert {tuple(r) for r in shared_pairs(windows).collect()} == pairs and len(pairs) > 300
+    for part in (512, 5):
+        found = [tuple(r) for r in shared_pairs(windows, part).collect()]
+        assert set(found) == pairs and len(found) == len(pairs) > 300
+    assert {(r.doc_id, r.first_doc, r.docs): r.classes for r in shared_classes(windows).collect()} == classes(docs)
     got = {}
     for r in shared_stretches(windows, K).collect():
         part = set(range(r.start, r.end))
