@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Only a session that runs on one machine gets a temporary one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kolonna-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -34,10 +37,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _scratch: list[str] = []
 
 
-def release() -> None:
-    """Delete every scratch path of this process. Results that are still to be read from them must be read before."""
+def release(keep: int = 0) -> None:
+    """Delete every scratch path of this process but the first ``keep``. Results that are still to be read from them must be read before."""
     spark = SparkSession.getActiveSession()
-    while _scratch and spark is not None:
+    while len(_scratch) > keep and spark is not None:
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(_scratch[-1])
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -46,6 +49,16 @@ def release() -> None:
         _scratch.pop()
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end what was materialized inside, so that a service that runs for long does not fill the shared folder. For one thread."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        release(before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

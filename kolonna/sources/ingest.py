@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolonna.catalog import Catalog
+from kolonna.catalog import Catalog, Files
+from kolonna.runtime import scratch_path
 from kolonna.schema import Field
 from kolonna.sources.decoders import BROKEN, LINE, Decoder, JsonDecoder, json_decoder
 from kolonna.table import Table
 
-#: Records of an iterable that travel to Spark at once.
+#: Records of an iterable that go to one file of the spool.
 BATCH = 50_000
 
 
@@ -121,16 +122,12 @@ def insert(
         return _append(catalog, table, _decoded(lines, names, decode, preprocess, fields), partition_filter)
     if streams is None:
         raise ValueError("nothing to insert")
-    rows, rejected, files = 0, 0, []
-    for stream in streams:
-        for batch in _batches(stream, header):
-            if isinstance(batch[0], str):
-                lines = spark.createDataFrame([(line,) for line in batch], T.StructType([T.StructField(LINE, T.StringType())]))
-                done = _append(catalog, table, _decoded(lines, names, decode, preprocess, fields), partition_filter)
-            else:
-                done = _append(catalog, table, converted_frame(_records(spark, batch, names, decode, preprocess), fields), partition_filter)
-            rows, rejected, files = rows + done.rows, rejected + done.rejected, files + done.files
-    return Inserted(table._name, rows, files, rejected)
+    lines, records = _spooled(spark, streams, names, decode, preprocess, header)
+    parts = [_decoded(lines, names, decode, preprocess, fields)] if lines is not None else []
+    parts += [converted_frame(records, fields)] if records is not None else []
+    if not parts:
+        return Inserted(table._name, 0, [], 0)
+    return _append(catalog, table, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), partition_filter)
 
 
 def text_lines(spark: SparkSession, file: str | list[str], header: bool = False) -> DataFrame:
@@ -149,32 +146,48 @@ def _decoded(lines: DataFrame, names: list[str], decode: Callable[[Any], dict],
     return converted_frame(_per_record(lines, names, decode, preprocess), fields)
 
 
-def _batches(stream: Iterable, header: bool) -> Iterator[list]:
-    batch: list = []
-    for at, line in enumerate(stream):
-        if header and not at:
-            continue
-        batch.append(line.decode() if isinstance(line, bytes) else line)
-        if len(batch) == BATCH:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
-def _records(spark: SparkSession, batch: list, names: list[str], decode: Callable[[Any], dict], preprocess: Callable | None) -> DataFrame:
-    """Records that are no lines are decoded here, as they come."""
-    rows = []
-    for record in batch:
-        try:
-            held = record if isinstance(record, dict) and isinstance(decode, JsonDecoder) else decode(record)
-            verdict = preprocess(held) if preprocess is not None else None
-            if verdict is not None and not verdict:
+def _spooled(spark: SparkSession, streams: Iterable[Iterable], names: list[str], decode: Callable[[Any], dict], preprocess: Callable | None, header: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """(lines, decoded records) of iterables, written to the shared folder as they come, so that they are loaded at once whatever their number.
+
+    Records that are no lines are decoded here.
+    """
+    folder, made, at = scratch_path(spark, "spool"), {"lines": 0, "records": 0}, []
+    whole = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(BROKEN, T.BooleanType())])
+
+    def flush() -> None:
+        for kind in made:
+            mine = [row for k, row in at if k == kind]
+            if mine:
+                made[kind] += 1
+                Files(spark).write(f"{folder}/{kind}/{made[kind]:06d}.json", "\n".join(mine))
+        at.clear()
+
+    for stream in streams:
+        for place, line in enumerate(stream):
+            if header and not place:
                 continue
-            rows.append((*(_as_text(held.get(n)) for n in names), False))
-        except Exception:
-            rows.append((*([None] * len(names)), True))
-    return spark.createDataFrame(rows, T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(BROKEN, T.BooleanType())]))
+            if isinstance(line, (str, bytes)):
+                at.append(("lines", json.dumps({LINE: line.decode() if isinstance(line, bytes) else line})))
+            elif (record := _record(line, names, decode, preprocess)) is not None:
+                at.append(("records", json.dumps(record)))
+            if len(at) == BATCH:
+                flush()
+    flush()
+    shapes = {"lines": T.StructType([T.StructField(LINE, T.StringType())]), "records": whole}
+    found = [spark.read.schema(shapes[kind]).json(f"{folder}/{kind}") if made[kind] else None for kind in shapes]
+    return found[0], found[1]
+
+
+def _record(record: Any, names: list[str], decode: Callable[[Any], dict], preprocess: Callable | None) -> dict | None:
+    """The columns of a record as text, or that it is broken; None if ``preprocess`` refuses it."""
+    try:
+        held = record if isinstance(record, dict) and isinstance(decode, JsonDecoder) else decode(record)
+        verdict = preprocess(held) if preprocess is not None else None
+        if verdict is not None and not verdict:
+            return None
+        return {n: _as_text(held.get(n)) for n in names} | {BROKEN: False}
+    except Exception:
+        return {BROKEN: True}
 
 
 def _append(catalog: Catalog, table: Table, rows: DataFrame, partition_filter: Any) -> Inserted:
@@ -182,16 +195,22 @@ def _append(catalog: Catalog, table: Table, rows: DataFrame, partition_filter: A
         single = isinstance(partition_filter, str) or not hasattr(partition_filter, "__iter__")
         wanted = [str(v) for v in ([partition_filter] if single else partition_filter)]
         rows = rows.where(F.col(BROKEN) | (F.col(_q(table._partition)).isin(wanted) if wanted else F.lit(False)))
+    segment, folder = catalog.new_segment(table._name)
+    counted = write_rows(rows, table, folder)
+    if counted["rows"]:
+        catalog.add_segment(table._name, segment)
+    return Inserted(table._name, counted["rows"], sorted(catalog.files.files(folder)) if counted["rows"] else [], counted["rejected"])
+
+
+def write_rows(rows: DataFrame, table: Table, folder: str) -> dict[str, int]:
+    """Write what is not broken to a new folder; the numbers of ``rows`` written and ``rejected``."""
     seen = Observation()
     good = rows.observe(seen, F.count(F.when(~F.col(BROKEN), 1)).alias("rows"), F.count(F.when(F.col(BROKEN), 1)).alias("rejected")).where(~F.col(BROKEN)).drop(BROKEN)
-    data = catalog.data(table._name)
-    before = catalog.files.files(data)
     if table._partition is not None:
         # one well-sized file a partition instead of one a task and partition; AQE splits partitions that are too large for that
         good = good.hint("rebalance", table._partition)
-    writer = good.write.mode("append").option("compression", "zstd")
+    writer = good.write.mode("errorifexists").option("compression", "zstd")
     if table._partition is not None:
         writer = writer.partitionBy(table._partition)
-    writer.parquet(data)
-    counted = seen.get
-    return Inserted(table._name, counted["rows"], sorted(catalog.files.files(data) - before), counted["rejected"])
+    writer.parquet(folder)
+    return seen.get

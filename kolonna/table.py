@@ -17,11 +17,12 @@ class Table:
     A column that is named like a method (``frame``, ``dumps``, ``loads``, ``from_frame``, ``from_parquet``) is reached as an item.
     """
 
-    def __init__(self, name: str, fields: Iterable[str | Field], partition: str | None = None, source: DataFrame | Callable[[], DataFrame] | None = None, location: str | None = None) -> None:
+    def __init__(self, name: str, fields: Iterable[str | Field], partition: str | None = None, source: DataFrame | Callable[[], DataFrame] | None = None, location: str | None = None, evolved: Iterable[str] = ()) -> None:
         self._name = name
         self._fields = parse_fields(fields, partition)
         self._partition = partition
         self._location = location
+        self._evolved = list(evolved)  # columns that older files lack
         self._source = source
         self._columns = {f.name: Column(self, f) for f in self._fields}
 
@@ -59,7 +60,7 @@ class Table:
 
     def dumps(self) -> str:
         """The handle as JSON: name, fields, partition and where the rows are stored."""
-        return json.dumps({"name": self._name, "fields": [f.to_json() for f in self._fields], "partition": self._partition, "location": self._location})
+        return json.dumps({"name": self._name, "fields": [f.to_json() for f in self._fields], "partition": self._partition, "location": self._location, "evolved": self._evolved})
 
     @classmethod
     def loads(cls, text: str, spark: SparkSession | None = None) -> Table:
@@ -71,8 +72,8 @@ class Table:
             from kolonna.catalog import stored_frame
 
             location = held["location"]
-            source = lambda: stored_frame(spark, location, fields, held["partition"])
-        return cls(held["name"], fields, held["partition"], source, held["location"])
+            source = lambda: stored_frame(spark, location, fields, held["partition"], held["evolved"])
+        return cls(held["name"], fields, held["partition"], source, held["location"], held["evolved"])
 
     def __repr__(self) -> str:
         return f"<table {self._name}: {', '.join(f.description for f in self._fields)}>"

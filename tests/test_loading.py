@@ -161,24 +161,101 @@ def test_compaction_of_a_stored_table(spark, warehouse):
         save("t", open_table("t"))
 
 
-def test_a_batch_that_failed_while_moving_is_finished(spark, warehouse, monkeypatch):
-    from kolonna.catalog import Files
+def test_loads_and_deletes_during_compaction(spark, warehouse, monkeypatch):
+    from kolonna.api import compact_table
+    from kolonna.catalog import SEGMENT, Catalog
+    from kolonna.operators import small_files
+
+    catalog = Catalog(spark)
+    t = create("t", ["index int a", "index string d"], partition="d")
+    for n in range(3):
+        insert(t, frame=spark.sql(f"select {n} as a, 'x' as d union all select {n} + 10, 'y'"))
+    held = t.frame  # planned on the old files
+    real = small_files.materialize
+
+    def meanwhile(what):
+        def run(df, label):
+            done = real(df, label)
+            if label == "published":
+                what()
+            return done
+
+        monkeypatch.setattr(small_files, "materialize", run)
+
+    meanwhile(lambda: insert(t, frame=spark.sql("select 99 as a, 'x' as d")))
+    assert compact_table(catalog, t) == (6, 6, 2)
+    want = [0, 1, 2, 10, 11, 12, 99]
+    assert sorted(r[0] for r in open_table("t")) == want and sorted(r.a for r in held.collect()) == want[:6]
+    # rows deleted while their files are copied, and files that another compaction has copied first
+    meanwhile(lambda: delete(t.d == "y"))
+    with pytest.raises(RuntimeError):
+        compact_table(catalog, t)
+    assert sorted(r[0] for r in open_table("t")) == [0, 1, 2, 99]
+
+    def rival():
+        monkeypatch.setattr(small_files, "materialize", real)
+        compact_table(catalog, t)
+
+    meanwhile(rival)
+    with pytest.raises(RuntimeError):
+        compact_table(catalog, t)
+    assert sorted(r[0] for r in open_table("t")) == [0, 1, 2, 99]
+    assert catalog.vacuum("t") == 0 and catalog.vacuum("t", 0) > 0
+    folders = [n for n in catalog.files.names(f"{catalog.location('t')}/data", True) if n.startswith(SEGMENT)]
+    assert len(folders) == len(catalog.state("t")["segments"]) and sorted(r[0] for r in open_table("t")) == [0, 1, 2, 99]
+
+
+def test_two_writers_of_one_version(spark, warehouse):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from kolonna.catalog import Catalog, segment_folder
+
+    catalog = Catalog(spark)
+    create("t", ["index int a"])
+    assert catalog.files.write_new(f"{catalog.location('t')}/versions/x", "1") and not catalog.files.write_new(f"{catalog.location('t')}/versions/x", "2")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda n: Catalog(spark).add_segment("t", f"s{n}"), range(60)))
+    assert sorted(catalog.state("t")["segments"]) == sorted(f"s{n}" for n in range(60))
+    assert len(catalog.files.names(f"{catalog.location('t')}/versions", False)) <= 53
+    assert segment_folder("x", "s1") == "x/data/_kolonna_segment=s1"
+    with pytest.raises(ValueError):
+        create("u", ["index int _kolonna_segment"])
+
+
+def test_a_batch_that_failed_before_its_commit_is_loaded_once(spark, warehouse, monkeypatch):
+    from kolonna.catalog import Catalog
+    from kolonna.streaming.continuous import followed
 
     t = create("t", ["index int a", "index string d"], partition="d")
     folder, marks = warehouse / "arrivals", f"file://{warehouse}/marks"
     folder.mkdir()
-    (folder / "0.json").write_text("\n".join(json.dumps({"a": i, "d": f"d{i}"}) for i in range(4)))
-    move, calls = Files.move, []
+    (folder / "0.json").write_text("\n".join([json.dumps({"a": i, "d": f"d{i}"}) for i in range(4)] + ["broken"]))
+    commit, calls = Catalog.commit, []
 
-    def breaks(self, path, to):
-        calls.append(path)
-        if len(calls) == 3:
+    def breaks(self, name, change):
+        calls.append(name)
+        if len(calls) == 1:
             raise OSError("gone")
-        move(self, path, to)
+        return commit(self, name, change)
 
-    monkeypatch.setattr(Files, "move", breaks)
+    monkeypatch.setattr(Catalog, "commit", breaks)
     with pytest.raises(Exception):  # noqa: B017
         follow(spark, t, f"file://{folder}", marks, once=True).awaitTermination(120)
-    assert len(list(open_table("t"))) == 2
-    follow(spark, t, f"file://{folder}", marks, once=True).awaitTermination(120)
+    assert list(open_table("t")) == []
+    for _ in range(2):
+        follow(spark, t, f"file://{folder}", marks, once=True).awaitTermination(120)
     assert sorted(r[0] for r in open_table("t")) == [0, 1, 2, 3]
+    assert followed(spark, t, marks) == {"batch": 0, "rows": 4, "rejected": 1}
+
+
+def test_streams_of_lines_and_records_are_one_load(spark, warehouse, monkeypatch):
+    from kolonna.sources import ingest
+
+    monkeypatch.setattr(ingest, "BATCH", 7)
+    t = create("t", ["index int a", "name"])
+    done = insert(t, streams=[[json.dumps({"a": i, "name": "l\n"}) for i in range(20)], ({"a": 100 + i, "name": "ré"} for i in range(20)), [b'{"a": 7}', {"a": "word"}, 5]])
+    assert (done.rows, done.rejected) == (41, 2) and len(list(open_table("t"))) == 41
+    assert insert(t, streams=[[]]).rows == 0
+    late = create("t", ["index int a", "name", "int16 late"], force=True)
+    again = Table.loads(late.dumps(), spark)
+    assert {r[2] for r in again} == {0}
