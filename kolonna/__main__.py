@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import atexit
 import importlib
+import os
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,9 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--csv-fields", help="the files are delimited; the names of their values, between commas")
     load.add_argument("--delimiter", default=",")
     load.add_argument("--header", action="store_true", help="leave out the first line of each file")
+    load.add_argument("-m", "--maxsize", type=int, help="bytes of a written file at most, about; a larger partition becomes several files")
+    load.add_argument("-t", "--tmpdir", help="shared folder for intermediate files (spark.checkpoint.dir)")
+    load.add_argument("-s", "--server", help="the Spark master to run on")
     load.add_argument("--partition", action="append", help="load only this partition value (may be repeated)")
     verbs.add_parser("shell", help="a console with the tables and the query language")
     return top
@@ -27,7 +32,15 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None) -> int:
     given = parser().parse_args(arguments)
-    spark = SparkSession.builder.appName("kolonna").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName("kolonna").config("spark.sql.session.timeZone", "UTC")
+    if getattr(given, "server", None):
+        builder = builder.master(given.server)
+    spark = builder.getOrCreate()
+    if getattr(given, "tmpdir", None):
+        spark.conf.set("spark.checkpoint.dir", given.tmpdir if "://" in given.tmpdir else f"file://{os.path.abspath(given.tmpdir)}")
+    if getattr(given, "maxsize", None):
+        # rebalanced partitions are split at this size before they are written
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", given.maxsize)
     from kolonna.catalog import Catalog
     from kolonna.settings import overrides
 
@@ -55,6 +68,17 @@ def load(spark: SparkSession, given: argparse.Namespace) -> int:
     return 0
 
 
+def keep_history(readline, path: str | None = None) -> None:
+    """Read the lines of former consoles, and write those of this one at its end, up to the setting ``history``."""
+    from kolonna.settings import Settings
+
+    path = path or os.path.expanduser("~/.kolonna_history")
+    readline.set_history_length(Settings.of().history)
+    if os.path.exists(path):
+        readline.read_history_file(path)
+    atexit.register(readline.write_history_file, path)
+
+
 def shell(catalog) -> int:
     import code
     import rlcompleter
@@ -68,6 +92,7 @@ def shell(catalog) -> int:
 
         readline.set_completer(rlcompleter.Completer(names).complete)
         readline.parse_and_bind("tab: complete")
+        keep_history(readline)
     except ImportError:
         pass
     code.interact(banner=f"tables: {', '.join(catalog.names()) or 'none'}; commands() lists the language", local=names, exitmsg="")

@@ -168,7 +168,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None) -> None:
         self.spark, self.files = spark, Files(spark)
-        set_to = warehouse or Settings()["warehouse"] or spark.conf.get("kolonna.warehouse", None)
+        set_to = warehouse or Settings.of().warehouse or spark.conf.get("kolonna.warehouse", None)
         self.root = (set_to or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kolonna").rstrip("/")
 
     def location(self, name: str) -> str:

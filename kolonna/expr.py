@@ -194,6 +194,8 @@ class Membership(Predicate):
             inside = column.isin(self.values)
         else:
             inside = F.lit(False)
+        # a null is neither in nor not in anything, as in any comparison
+        inside = F.when(column.isNotNull(), inside) if self.frame is not None or not self.values else inside
         return ~inside if self.absent else inside
 
     def _other(self) -> DataFrame:
@@ -204,6 +206,8 @@ class Membership(Predicate):
         if self.frame is None:
             return super().restrict(frame, lookup)
         # standing alone: a plain semi or anti join, which needs no broadcast
+        if self.absent:
+            frame = frame.where(self.column.spark(lookup).isNotNull())
         return frame.join(self._other(), self.column.spark(lookup) == F.col("_member"), "left_anti" if self.absent else "left_semi")
 
     def __repr__(self) -> str:

@@ -50,6 +50,17 @@ class Fold(Aggregation):
         self.kind, self.start, self.fold, self.merge, self.finish = kind, start, fold, merge, finish
 
 
+class Extremes(Aggregation):
+    """The ``capacity`` extreme values of a group as one array: ranked in parts, then together (:mod:`kolonna.functions.sketches`), never gathered.
+
+    Over arrays (``samples``) the extremes of all their elements.
+    """
+
+    def __init__(self, function: str, column: Column, kind: T.DataType, capacity: int, greatest: bool, samples: bool) -> None:
+        super().__init__(function, column, lambda c: c)
+        self.kind, self.capacity, self.greatest, self.samples = kind, capacity, greatest, samples
+
+
 def h_sum(column: Column) -> Aggregation:
     """Sum; 0 over no rows at all."""
     return Aggregation("sum", column, F.sum, 0)
@@ -76,7 +87,7 @@ def h_avg(column: Column) -> Aggregation:
 
 
 def h_combine(column: Column, separator: str = ",") -> Aggregation:
-    """All values as one string, in their order as strings so that the result is defined."""
+    """All values as one string, in their order as strings so that the result is defined. The result is one cell as large as its group: for groups that fit a task."""
     return Aggregation("combine", column, lambda c: F.array_join(F.array_sort(F.collect_list(c.cast("string"))), separator))
 
 
@@ -85,8 +96,13 @@ def aggregate_expression(function: str, column: Column, build: Callable[[SparkCo
     return Aggregation(function, column, build)
 
 
+def hashed(c: SparkColumn) -> SparkColumn:
+    """What a sketch counts: a hash of the value. Spark's own sketch of strings leaves out the empty one, and takes few types."""
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
 def _sketch(column: Column, c: SparkColumn) -> SparkColumn:
-    return F.hll_union_agg(c) if isinstance(column.field.type, T.BinaryType) else F.hll_sketch_agg(c, LOG2_REGISTERS)
+    return F.hll_union_agg(c) if isinstance(column.field.type, T.BinaryType) else F.hll_sketch_agg(hashed(c), LOG2_REGISTERS)
 
 
 def h_cardinality(column: Column) -> Aggregation:
@@ -101,15 +117,14 @@ def h_union(column: Column) -> Aggregation:
 
 def h_minhash_merge(column: Column, capacity: int = 65_535) -> Aggregation:
     """Merge sketches of the greatest hashes (arrays of bigint): the ``capacity`` greatest of all."""
-    import numpy as np
+    return Extremes("minhash_merge", column, T.LongType(), capacity, True, True)
 
-    def merge(a: Any, b: Any) -> Any:
-        return np.unique(np.concatenate([a, np.asarray(b, np.int64)]))[::-1][:capacity]
 
-    def start() -> Any:
-        return np.empty(0, np.int64)
+def h_nlargest(column: Column, n: int) -> Aggregation:
+    """The ``n`` greatest different values, as an array from the greatest down."""
+    return Extremes("nlargest", column, column.field.type, n, True, False)
 
-    def add(acc: Any, value: Any) -> Any:
-        return acc if value is None else merge(acc, value)
 
-    return Fold("minhash_merge", column, T.ArrayType(T.LongType()), start, add, merge, lambda acc: [int(x) for x in acc])
+def h_nsmallest(column: Column, n: int) -> Aggregation:
+    """The ``n`` least different values, as an array from the least up."""
+    return Extremes("nsmallest", column, column.field.type, n, False, False)

@@ -16,38 +16,47 @@ if TYPE_CHECKING:
     from kolonna.functions.aggregates import Fold
 
 
-def fold_groups(rows: DataFrame, keys: list[str], value: str, how: Fold) -> DataFrame:
-    """The keys and ``value``: the fold of each group. Without keys one row, also of no rows."""
+def fold_groups(rows: DataFrame, keys: list[str], folds: dict[str, Fold]) -> DataFrame:
+    """The keys and a column for each fold of the column of its name, all in one pass. Without keys one row, also of no rows."""
     kinds = [rows.schema[k] for k in keys]
-    held = T.StructType([*kinds, T.StructField(value, T.BinaryType())])
-    final = T.StructType([*kinds, T.StructField(value, how.kind)])
-    start, fold, merge, finish = how.start, how.fold, how.merge, how.finish
+    values = list(folds)
+    held = T.StructType([*kinds, *(T.StructField(v, T.BinaryType()) for v in values)])
+    final = T.StructType([*kinds, *(T.StructField(v, folds[v].kind) for v in values)])
+    steps = {v: (f.start, f.fold, f.merge, f.finish) for v, f in folds.items()}
 
-    def pack(table: pa.Table, first: object, accs: list) -> pa.Table:
+    def pack(table: pa.Table, first: object, accs: list[list]) -> pa.Table:
         from pyspark import cloudpickle
 
-        blobs = pa.array([cloudpickle.dumps(a) for a in accs], pa.binary())
-        return pa.Table.from_arrays([*table.select(keys).take(first).columns, blobs], [*keys, value])
+        blobs = [pa.array([cloudpickle.dumps(a) for a in column], pa.binary()) for column in accs]
+        return pa.Table.from_arrays([*table.select(keys).take(first).columns, *blobs], [*keys, *values])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, 1 << 17):
             code, first = group_codes(table, keys)
-            accs = [start() for _ in first]
-            for g, v in zip(code.tolist(), table.column(value).to_pylist()):
-                accs[g] = fold(accs[g], v)
-            yield from pack(table, first, accs).to_batches()
+            groups, folded = code.tolist(), []
+            for value in values:
+                start, fold, _, _ = steps[value]
+                accs = [start() for _ in first]
+                for g, v in zip(groups, table.column(value).to_pylist()):
+                    accs[g] = fold(accs[g], v)
+                folded.append(accs)
+            yield from pack(table, first, folded).to_batches()
 
     def combine(table: pa.Table) -> pa.Table:
         import pickle
 
         code, first = group_codes(table, keys)
-        accs: list = [None] * len(first)
-        seen = [False] * len(first)
-        for g, blob in zip(code.tolist(), table.column(value).to_pylist()):
-            acc = pickle.loads(blob)
-            accs[g] = merge(accs[g], acc) if seen[g] else acc
-            seen[g] = True
-        return pack(table, first, accs)
+        groups, merged = code.tolist(), []
+        for value in values:
+            merge = steps[value][2]
+            accs: list = [None] * len(first)
+            seen = [False] * len(first)
+            for g, blob in zip(groups, table.column(value).to_pylist()):
+                acc = pickle.loads(blob)
+                accs[g] = merge(accs[g], acc) if seen[g] else acc
+                seen[g] = True
+            merged.append(accs)
+        return pack(table, first, merged)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,12 +67,13 @@ def fold_groups(rows: DataFrame, keys: list[str], value: str, how: Fold) -> Data
         found = False
         for table in fold_sorted(batches, combine, 1 << 14):
             found = True
-            done = [finish(pickle.loads(b)) for b in table.column(value).to_pylist()]
-            yield from pa.Table.from_arrays([*table.select(keys).columns, pa.array(done, out.field(len(keys)).type)], out.names).cast(out).to_batches()
+            done = [pa.array([steps[v][3](pickle.loads(b)) for b in table.column(v).to_pylist()], out.field(v).type) for v in values]
+            yield from pa.Table.from_arrays([*table.select(keys).columns, *done], out.names).cast(out).to_batches()
         if not found and not keys:
-            yield pa.RecordBatch.from_arrays([pa.array([finish(start())], out.field(0).type)], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array([steps[v][3](steps[v][0]())], out.field(v).type) for v in values], schema=out)
 
     parts = rows.mapInArrow(partial, held)
     if not keys:
-        return parts.coalesce(1).mapInArrow(merged, final)
+        # an exchange: the partial folds stay in the tasks that read
+        return parts.repartition(1).mapInArrow(merged, final)
     return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, final)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kolonna.expr import Column, Predicate
-from kolonna.functions.aggregates import Aggregation, Fold
+from kolonna.functions.aggregates import Aggregation, Extremes, Fold
+from kolonna.functions.sketches import extreme_values, merge_samples
 from kolonna.operators.folds import fold_groups
 from kolonna.printing import cat
 from kolonna.runtime import materialize
@@ -199,26 +200,33 @@ def select(
     crossed; otherwise the rows of all tables follow each other, with nulls for the columns of the others.
     ``order_by`` takes selected columns, names or places; ties follow the other columns, so the order is defined. ``limit`` 0 is none.
     ``nest`` gives a Table for further queries, ``tag`` also stores it under a name. ``block=False`` gives a Future, ``dump=True`` prints.
-    ``wide``, ``partition`` and ``profile`` are hints; aggregation, shuffle sizes and profiles are Spark's. ``max_cores`` caps the tasks
-    of the last stage.
+    ``partition`` is the number of parts of the result, sorted ones being ranges of the order; 0 leaves it to Spark. ``max_cores`` caps the tasks of
+    the last stage. ``profile`` prints the plan. ``purge=False`` keeps the rows, once computed, for later use until the result's
+    ``purge()``. ``wide`` is a hint without effect: Spark plans aggregation itself.
     """
-    options = Settings(**settings)
-    nest = options["nest"] if nest is None else nest
-    dump = options["dump"] if dump is None else dump
+    options = Settings.of(**settings)
+    nest = options.nest if nest is None else nest
+    dump = options.dump if dump is None else dump
+    if partition < 0 or max_cores < 0:
+        raise ValueError("partition and max_cores are not negative")
     sources, items, keys = _listed(where), list(project), _listed(order_by)
     columns = [] if full_join else resolve_join(sources, join)
     check_query(items, columns, keys, limit, sources)
-    frame = declare(sources, items, columns, full_join, keys, desc, distinct, limit, pre_order_stage)
+    frame = declare(sources, items, columns, full_join, keys, desc, distinct, limit, pre_order_stage, partition)
     if max_cores > 0:
         frame = frame.coalesce(max_cores)
+    if profile:
+        frame.explain("formatted")
     if tag is not None:
         from kolonna.catalog import Catalog
 
-        held = Catalog(frame.sparkSession, options.get("warehouse"))
+        held = Catalog(frame.sparkSession, options.warehouse)
         if held.find(tag) is not None:
             raise ValueError(f"there is a table {tag} already")
         held.save(tag, frame)
         frame = held.open(tag).frame
+    if not purge:
+        frame = frame.persist()
     name = tag or f"nested_{'_'.join(_table_of(s)._name for s in sources)[:40]}_{uuid.uuid4().hex[:6]}"
 
     def result(rows: DataFrame) -> QueryResult | Table:
@@ -269,7 +277,7 @@ def _side(source: Source, number: int) -> tuple[DataFrame, Callable[[str], Spark
     return frame, lambda name: _q(f"{number}.{name}")
 
 
-def declare(sources: list[Source], items: list[Item], join: list[Column], full_join: bool, order_by: list, desc: bool, distinct: bool, limit: int | None, stages: Iterable[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+def declare(sources: list[Source], items: list[Item], join: list[Column], full_join: bool, order_by: list, desc: bool, distinct: bool, limit: int | None, stages: Iterable[Callable[[DataFrame], DataFrame]] = (), split: int = 0) -> DataFrame:
     """The DataFrame of a checked query."""
     tables = [_table_of(s) for s in sources]
     sides = [_side(s, i) for i, s in enumerate(sources)]
@@ -317,14 +325,20 @@ def declare(sources: list[Source], items: list[Item], join: list[Column], full_j
     if order_by:
         first = [order_place(k, items) for k in order_by]
         rest = [i for i in range(len(items)) if i not in first and names[i] in rows.columns and not isinstance(rows.schema[names[i]].dataType, (T.BinaryType, T.MapType))]
-        rows = rows.orderBy(*[_q(names[i]).desc() if desc else _q(names[i]).asc() for i in [*dict.fromkeys(first), *rest]])
-    return rows.limit(limit) if limit else rows
+        order = [_q(names[i]).desc() if desc else _q(names[i]).asc() for i in [*dict.fromkeys(first), *rest]]
+        if split and not limit:
+            return rows.repartitionByRange(split, *order).sortWithinPartitions(*order)
+        rows = rows.orderBy(*order)
+    rows = rows.limit(limit) if limit else rows
+    return rows.repartition(split) if split and not order_by else rows
 
 
 def aggregate(rows: DataFrame, items: list[Item], inner: list[str], keys: list[str]) -> DataFrame:
-    """Group by ``keys``: Spark's aggregates in one pass, each Python fold in one of its own, joined on the keys."""
-    plain = [(item, n) for item, n in zip(items, inner) if isinstance(item, Aggregation) and not isinstance(item, Fold)]
-    folds = [(item, n) for item, n in zip(items, inner) if isinstance(item, Fold)]
+    """Group by ``keys``: Spark's aggregates in one pass, all Python folds in another, extremes in one each, joined on the keys."""
+    of = [(item, n) for item, n in zip(items, inner) if isinstance(item, Aggregation)]
+    plain = [(item, n) for item, n in of if not isinstance(item, (Fold, Extremes))]
+    folds = {n: item for item, n in of if isinstance(item, Fold)}
+    extremes = {n: item for item, n in of if isinstance(item, Extremes)}
 
     def made(item: Aggregation, n: str) -> SparkColumn:
         column = item.build(F.col(n))
@@ -332,19 +346,26 @@ def aggregate(rows: DataFrame, items: list[Item], inner: list[str], keys: list[s
             column = F.coalesce(column, F.lit(item.empty))
         return column.alias(n)
 
+    def joined(left: DataFrame, part: DataFrame, how: str) -> DataFrame:
+        if not keys:
+            return left.crossJoin(part)  # one row each
+        renamed = part.select(*[F.col(k).alias(f"r{k}") for k in keys], *[c for c in part.columns if c not in keys])
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"r{k}"))
+        return left.join(renamed, on, how).drop(*[f"r{k}" for k in keys])
+
     result = None
-    if plain or not folds:
+    if plain:
         result = rows.groupBy(*keys).agg(*[made(item, n) for item, n in plain])
-    for item, n in folds:
-        part = fold_groups(rows.select(*keys, n), keys, n, item)
-        if result is None:
-            result = part
-        elif keys:
-            renamed = part.select(*[F.col(k).alias(f"r{k}") for k in keys], n)
-            on = F.lit(True)
-            for k in keys:
-                on = on & F.col(k).eqNullSafe(F.col(f"r{k}"))
-            result = result.join(renamed, on).drop(*[f"r{k}" for k in keys])
-        else:
-            result = result.crossJoin(part)  # one row each
+    if folds:
+        part = fold_groups(rows.select(*keys, *folds), keys, folds)
+        result = part if result is None else joined(result, part, "inner")
+    if result is None:
+        # every group has its row, also one without any value
+        result = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1).select()
+    for n, item in extremes.items():
+        source = rows.select(*keys, n)
+        found = merge_samples(source, keys, item.capacity, item.greatest) if item.samples else extreme_values(source, keys, n, item.capacity, item.greatest)
+        result = joined(result, found.withColumnRenamed(found.columns[-1], n), "left").withColumn(n, F.coalesce(n, F.array().cast(T.ArrayType(item.kind))))
     return result

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolonna.functions.aggregates import Fold, aggregate_expression, h_avg, h_cardinality, h_combine, h_count, h_max, h_min, h_minhash_merge, h_sum, h_union
+from kolonna.functions.aggregates import Fold, aggregate_expression, h_avg, h_cardinality, h_combine, h_count, h_max, h_min, h_minhash_merge, h_nlargest, h_nsmallest, h_sum, h_union
 from kolonna.functions.columns import column_function, day, ip_aton, ip_ntoa, month, year
 from kolonna.functions.sketches import hash_sample, hll_intersection, hll_sketches, jaccard, merge_samples
 from kolonna.plans.query import select
@@ -152,6 +152,25 @@ def semi_in_query_or(spark: SparkSession, folder: str) -> DataFrame:
     return rows(select(c.c_custkey, where=(c.c_custkey << select(o.o_custkey, where=o.total_cents > 29_000_000)) | (c.c_nationkey == 3)))
 
 
+@query("select site_id, date, ad_id from impressions where ad_id is not null and ad_id not in (select account_id from pix where account_id is not null)")
+def anti_in_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """A null is neither in nor not in the values of a query."""
+    i, p = impressions(spark, folder), pixels(spark, folder)
+    return rows(select(i.site_id, i.date, i.ad_id, where=i.ad_id >> select(p.account_id, where=p)))
+
+
+@query("select site_id, date, ad_id from impressions where not (ad_id in (select account_id from pix where account_id is not null) or date < '2016-03-10')")
+def anti_in_nulls_combined(spark: SparkSession, folder: str) -> DataFrame:
+    i, p = impressions(spark, folder), pixels(spark, folder)
+    return rows(select(i.site_id, i.date, i.ad_id, where=~((i.ad_id << select(p.account_id, where=p)) | (i.date < "2016-03-10"))))
+
+
+@query("select site_id, date, ad_id from impressions where ad_id not in (1, 2, 3, 5, 8, 13)")
+def filter_not_in_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    i = impressions(spark, folder)
+    return rows(select(i.site_id, i.date, i.ad_id, where=i.ad_id >> [1, 2, 3, 5, 8, 13]))
+
+
 # --- aggregation ---------------------------------------------------------------------------------------------------------
 
 
@@ -185,6 +204,35 @@ _grouped("agg_custom_fold", "cast(sum(qty * qty) as bigint)", lambda t: Fold("sq
 _grouped("agg_column_fn", "max(cast(substr(ship_month, 6, 2) as tinyint))", lambda t: h_max(month(t.ship_month)))
 
 
+def squares(column) -> Fold:
+    return Fold("squares", column, T.LongType(), lambda: 0, lambda acc, v: acc + v * v, lambda a, b: a + b)
+
+
+@query(f"{WITH} select cast(sum(qty * qty) as bigint) as value from li")
+def agg_global_fold(spark: SparkSession, folder: str) -> DataFrame:
+    t = lineitem(spark, folder)
+    return rows(select(squares(t.qty).named("value"), where=t))
+
+
+@query(f"{WITH} select l_returnflag, cast(sum(qty * qty) as bigint) as a, cast(sum(l_linenumber * l_linenumber) as bigint) as b, count(*) as n from li group by l_returnflag")
+def agg_two_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Several folds run in one pass, Spark's own aggregates in another."""
+    t = lineitem(spark, folder)
+    return rows(select(t.l_returnflag, squares(t.qty).named("a"), squares(t.l_linenumber).named("b"), h_count().named("n"), where=t))
+
+
+@query("""
+    with d as (select distinct site_id, amount from pix where amount is not null), r as (select *, row_number() over (partition by site_id order by amount desc) as top, row_number() over (partition by site_id order by amount) as low from d),
+    a as (select site_id, cast(sum(amount * top) filter (top <= 3) as bigint) as top, cast(sum(amount * low) filter (low <= 3) as bigint) as low, cast(count(*) filter (top <= 3) as integer) as found from r group by site_id)
+    select p.site_id, count(*) as n, coalesce(max(top), 0) as top, coalesce(max(low), 0) as low, coalesce(max(found), 0) as found from pix p left join a on p.site_id is not distinct from a.site_id group by p.site_id""")
+def agg_extremes(spark: SparkSession, folder: str) -> DataFrame:
+    """The three greatest and the three least different amounts of each site, weighted by their places."""
+    t = pixels(spark, folder)
+    found = select(t.site_id, h_nlargest(t.amount, 3).named("most"), h_nsmallest(t.amount, 3).named("least"), h_count().named("n"), where=t).frame
+    total = "aggregate(transform({}, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)"
+    return found.select("site_id", "n", F.expr(total.format("most")).alias("top"), F.expr(total.format("least")).alias("low"), F.size("most").alias("found"))
+
+
 @query(f"{WITH} select o_custkey, string_agg(o_orderstatus, ',' order by o_orderstatus) as statuses from od group by o_custkey")
 def agg_combine(spark: SparkSession, folder: str) -> DataFrame:
     t = orders(spark, folder)
@@ -314,6 +362,22 @@ def order_desc(spark: SparkSession, folder: str) -> DataFrame:
     return rows(select(t.o_custkey, t.order_date, t.o_orderkey, where=t, order_by=("od.o_custkey", "order_date"), desc=True))
 
 
+@query(f"{WITH} select order_date, cast(sum(total_cents) as bigint) as total, 6 as most_parts from od group by order_date")
+def order_in_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """``partition`` sets the number of parts of an ordered result; their rows follow each other in order."""
+    t = orders(spark, folder)
+    frame = rows(select(t.order_date, h_sum(t.total_cents).named("total"), where=t, order_by="order_date", partition=6))
+    bounds = frame.select(F.spark_partition_id().alias("part"), "order_date").groupBy("part").agg(F.min("order_date").alias("low"), F.max("order_date").alias("high"))
+    apart = bounds.alias("x").join(bounds.alias("y"), F.expr("x.part < y.part and x.high >= y.low"), "inner").isEmpty() and bounds.count() <= 6
+    return frame.withColumn("most_parts", F.lit(6 if apart else -1))
+
+
+@query(f"{WITH} select count(*) as n, count(distinct o_orderkey) as different from (select o_orderkey from od limit 37)")
+def limit_unordered(spark: SparkSession, folder: str) -> DataFrame:
+    t = orders(spark, folder)
+    return rows(select(t.o_orderkey, where=t, limit=37)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"))
+
+
 @query(f"{WITH} select o_custkey, cast(sum(total_cents) as bigint) as total from od group by o_custkey order by total desc, o_custkey desc limit 20")
 def order_by_agg_index(spark: SparkSession, folder: str) -> DataFrame:
     t = orders(spark, folder)
@@ -461,36 +525,49 @@ def fn_user_defined(spark: SparkSession, folder: str) -> DataFrame:
 # --- sketches ------------------------------------------------------------------------------------------------------------
 
 
-@query("select site_id, true as near from pix group by site_id")
+NEAR = "abs(estimate - exact) <= greatest(3, {} * exact)"
+
+
+@query("select site_id, count(distinct token) as exact, true as near from pix group by site_id")
 def hll_cardinality(spark: SparkSession, folder: str) -> DataFrame:
-    """Estimates of sketches built by day and combined by site, held against exact counts: within four standard errors (or 3)."""
+    """Sketches built by day and combined by site, next to the exact counts, and whether they lie within four standard errors (or 3)."""
     p = pixels(spark, folder)
     daily = Table.from_frame("daily", hll_sketches(p.frame, ["site_id", "date"], "token"))
     estimate = select(daily.site_id, h_cardinality(daily.sketch).named("estimate"), where=daily).frame
     exact = p.frame.groupBy("site_id").agg(F.count_distinct("token").alias("exact"))
     both = estimate.alias("a").join(exact.alias("b"), F.col("a.site_id").eqNullSafe(F.col("b.site_id")))
-    return both.select("a.site_id", (F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(3.0), F.col("exact") * 0.065)).alias("near"))
+    return both.select("a.site_id", "exact", F.expr(NEAR.format(0.065)).alias("near"))
+
 
+@query("select site_id, case when count(distinct token) = 0 then 0 when count(distinct token) < 10 then 1 else 2 end as size from pix group by site_id")
+def hll_small_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Sets of fewer than ten are counted exactly by a sketch, so the estimates alone tell them from others."""
+    p = pixels(spark, folder)
+    estimate = select(p.site_id, h_cardinality(p.token).named("n"), where=p).frame
+    return estimate.select("site_id", F.expr("case when n = 0 then 0 when n < 10 then 1 else 2 end").alias("size"))
 
-@query("select date, true as same from pix group by date")
+
+@query("select date, count(distinct token) as exact, true as near, true as same from pix group by date")
 def hll_union(spark: SparkSession, folder: str) -> DataFrame:
-    """A union of stored sketches estimates what one sketch of all rows does, within the error of both."""
+    """A union of stored sketches next to the exact count, and whether it gives what one sketch of all rows does."""
     p = pixels(spark, folder)
     fine = Table.from_frame("fine", hll_sketches(p.frame, ["site_id", "date"], "token"))
-    joined = select(fine.date, h_union(fine.sketch).named("sketch"), where=fine).frame.select("date", F.hll_sketch_estimate("sketch").alias("u"))
-    direct = select(p.date, h_cardinality(p.token).named("d"), where=p).frame
+    joined = select(fine.date, h_union(fine.sketch).named("sketch"), where=fine).frame.select("date", F.hll_sketch_estimate("sketch").alias("estimate"))
+    direct = p.frame.groupBy("date").agg(F.count_distinct("token").alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col("token").isNotNull(), F.xxhash64("token")), 12)).alias("direct"))
     both = joined.alias("a").join(direct.alias("b"), F.col("a.date").eqNullSafe(F.col("b.date")))
-    return both.select("a.date", (F.abs(F.col("u") - F.col("d")) <= F.greatest(F.lit(3.0), F.col("d") * 0.09)).alias("same"))
+    return both.select("a.date", "exact", F.expr(NEAR.format(0.065)).alias("near"), F.expr("abs(estimate - direct) <= greatest(3, 0.03 * direct)").alias("same"))
 
 
-@query("select true as near")
+@query("select account_id, count(distinct token) filter (token in (select token from impressions)) as exact, true as near from pix where account_id is not null and token is not null group by account_id")
 def hll_intersect(spark: SparkSession, folder: str) -> DataFrame:
-    i, p = table(spark, folder, "impressions"), table(spark, folder, "pix")
-    a = hll_sketches(i, [], "token").withColumnRenamed("sketch", "x")
-    b = hll_sketches(p, [], "token").withColumnRenamed("sketch", "y")
-    exact = i.select("token").where("token is not null").distinct().join(p.select("token").distinct(), "token", "left_semi").agg(F.count(F.lit(1)).alias("exact"))
-    one = a.crossJoin(b).crossJoin(exact).withColumn("i", hll_intersection(F.col("x"), F.col("y")))  # one row each
-    return one.select((F.abs(F.col("i.count") - F.col("exact")) <= 5 * F.col("i.error")).alias("near"))
+    """Per account, the tokens it shares with all impressions and all pixels, as an intersection of three sketches next to the exact count: within four errors."""
+    i, p = (table(spark, folder, t).where("token is not null") for t in ("impressions", "pix"))
+    own = p.where("account_id is not null")
+    hit = own.select("account_id", "token").distinct().join(i.select(F.col("token").alias("seen")).distinct(), F.col("token") == F.col("seen"), "left")
+    exact = hit.groupBy("account_id").agg(F.count("seen").alias("exact"))
+    both = hll_sketches(i, [], "token").withColumnRenamed("sketch", "x").crossJoin(hll_sketches(p, [], "token").withColumnRenamed("sketch", "y"))  # one row
+    found = hll_sketches(own, ["account_id"], "token").crossJoin(both).join(exact, "account_id").withColumn("i", hll_intersection(F.col("sketch"), F.col("x"), F.col("y")))
+    return found.select("account_id", "exact", F.expr("abs(i.count - exact) <= 4 * i.error").alias("near"))
 
 
 SHARED = """
@@ -504,7 +581,24 @@ def minhash_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity of the parts of each supplier and the next one; samples of 65,535 hashes are exact here."""
     samples = hash_sample(table(spark, folder, "lineitem"), ["l_suppkey"], "l_partkey", 65_535)
     other = samples.select((F.col("l_suppkey") - 1).alias("l_suppkey"), F.col("sample").alias("next"))
-    return samples.join(other, "l_suppkey").select(F.col("l_suppkey").alias("supplier"), jaccard(F.col("sample"), F.col("next"), 65_535).alias("jaccard"))
+    return samples.join(other, "l_suppkey").select(F.col("l_suppkey").alias("supplier"), jaccard(F.col("sample"), F.col("next"), capacity=65_535).alias("jaccard"))
+
+
+@query("""
+    with x as (select distinct event_type, user_id from events), n as (select event_type, count(*) as n from x group by 1),
+    p as (select a.event_type as a, b.event_type as b, count(*) as k from x a join x b on a.user_id = b.user_id and a.event_type < b.event_type group by 1, 2)
+    select a, b, k / (m.n + o.n - k) as exact, true as near from p join n m on m.event_type = a join n o on o.event_type = b""")
+def minhash_full_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity of the users of each two event types from samples of 64 hashes that are full, next to the exact one: within five standard errors."""
+    seen = table(spark, folder, "events").select("event_type", "user_id")
+    samples = hash_sample(seen, ["event_type"], "user_id", 64)
+    x, y = (samples.select(F.col("event_type").alias(n), F.col("sample").alias(f"s{n}")) for n in "ab")
+    pairs = x.join(y, F.col("a") < F.col("b"))  # one row an event type
+    estimate = pairs.select("a", "b", jaccard(F.col("sa"), F.col("sb"), capacity=64).alias("estimate"))
+    users = seen.groupBy("event_type").agg(F.collect_set("user_id").alias("u"))
+    u, v = (users.select(F.col("event_type").alias(n), F.col("u").alias(f"u{n}")) for n in "ab")
+    exact = estimate.join(u, "a").join(v, "b").withColumn("exact", F.size(F.array_intersect("ua", "ub")) / F.size(F.array_union("ua", "ub")))
+    return exact.where("exact > 0").select("a", "b", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 5 * F.sqrt(F.col("exact") * (1 - F.col("exact")) / 64) + 1 / 64).alias("near"))
 
 
 @query("with h as (select distinct l_returnflag, l_suppkey from lineitem) select l_returnflag, count(*) as hashes from h group by l_returnflag")
@@ -517,6 +611,14 @@ def minhash_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merged.join(again, "l_returnflag").where(F.col("s") == F.col("sample")).select("l_returnflag", F.size("s").cast("bigint").alias("hashes"))
 
 
+@query("with h as (select distinct l_returnflag, l_suppkey from lineitem) select l_returnflag, cast(count(*) as integer) as hashes, true as ordered from h group by l_returnflag")
+def minhash_least(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of the least hashes, merged: as many as there are values, from the least up."""
+    fine = hash_sample(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_suppkey", 65_535, greatest=False)
+    merged = merge_samples(fine, ["l_returnflag"], 65_535, greatest=False)
+    return merged.select("l_returnflag", F.size("sample").alias("hashes"), (F.col("sample") == F.sort_array("sample")).alias("ordered"))
+
+
 # --- statistics, futures -------------------------------------------------------------------------------------------------
 
 
@@ -524,7 +626,7 @@ def minhash_merge(spark: SparkSession, folder: str) -> DataFrame:
     n as (select count(*) as n from li), c as (select unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_returnflag', 'l_linestatus', 'ship_month']) as name, unnest([sum(o), sum(p), sum(s), sum(l), sum(r), sum(t), sum(m)]) as d from p)
     select name, cast(floor(100 * d / n) as bigint) as value from c, n where floor(100 * d / n) > 0 union all select '_', n from n""")
 def stat_cardinality(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(sorted(stat(lineitem(spark, folder)).items()), "name string, value bigint")
+    return spark.createDataFrame(sorted(stat(lineitem(spark, folder), exact=True).items()), "name string, value bigint")
 
 
 @query(f"{WITH} select o_orderpriority, count(*) as n from od group by o_orderpriority")

@@ -8,11 +8,16 @@ from kolonna.expr import Predicate
 from kolonna.table import Table
 
 
-def stat(where: Table | Predicate, limit: int | None = None) -> dict[str, int]:
+#: Relative standard error of estimated counts.
+ERROR = 0.01
+
+
+def stat(where: Table | Predicate, limit: int | None = None, exact: bool = False) -> dict[str, int]:
     """For each indexed column the cardinality in per cent: the mean over the table's partitions, weighted by their rows, of
     different values against rows, truncated; columns at 0 are left out. ``_`` is the number of rows.
 
-    ``limit`` takes only that many partitions, the first in order. Rows are counted where they are, in one aggregation over all columns.
+    ``limit`` takes only that many partitions, the first in order. Different values are estimated by a sketch a column and partition, in one
+    pass that shuffles the sketches alone; with ``exact`` they are counted, for which Spark sends every row once a column.
     """
     table = where.table if isinstance(where, Predicate) else where
     frame = where.restrict(table.frame, lambda n: F.col(f"`{n}`")) if isinstance(where, Predicate) else table.frame
@@ -22,8 +27,8 @@ def stat(where: Table | Predicate, limit: int | None = None) -> dict[str, int]:
     if limit is not None and table._partition:
         first = pairs.select("_part").distinct().orderBy("_part").limit(limit)
         pairs = pairs.join(first, "_part", "left_semi")
-    counts = pairs.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(f"c{i}").alias(f"d{i}") for i in range(len(indexed))])
+    counts = pairs.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), *[(F.count_distinct(f"c{i}") if exact else F.approx_count_distinct(f"c{i}", ERROR)).alias(f"d{i}") for i in range(len(indexed))])
     # rows / total * different / rows, summed over the partitions
     total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias(f"d{i}") for i in range(len(indexed))]).collect()[0]
-    found = {c: int(100 * total[f"d{i}"] // total["rows"]) for i, c in enumerate(indexed) if total["rows"]}
+    found = {c: min(100, int(100 * total[f"d{i}"] // total["rows"])) for i, c in enumerate(indexed) if total["rows"]}
     return {c: n for c, n in found.items() if n > 0} | {"_": total["rows"]}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolonna.catalog import Catalog
+from kolonna.catalog import Catalog, describe
+from kolonna.operators.small_files import compact_table
 from kolonna.plans.query import select
 from kolonna.plans.registry import Registry, table
 from kolonna.plans.relational import EV, LI, OD, events, lineitem, orders
@@ -148,3 +149,65 @@ def nested_tag(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "warehouse")
     select(t.o_custkey, h_sum(t.total_cents).named("total"), where=t, nest=True, tag="by_customer", warehouse=root)
     return Catalog(spark, root).open("by_customer").frame
+
+
+@query(f"with {OD} select o_custkey, o_orderstatus, total_cents from od")
+def ingest_header(spark: SparkSession, folder: str) -> DataFrame:
+    """The first line of each file names the columns and is left out."""
+    names = ["o_custkey", "o_orderstatus", "total_cents"]
+    path = scratch_path(spark, "lines")
+    orders(spark, folder).frame.select(*names).write.option("header", True).csv(path)
+    return loaded(spark, ["index int64 o_custkey", "trie o_orderstatus", "int64 total_cents"], file=path, decoder=csv_decoder(names), header=True).frame
+
+
+def _swapped(line: str) -> dict:
+    left, right = line.split("/")
+    return {"day": left[::-1], "event_type": right}
+
+
+@query(f"with {EV} select event_type, reverse(day) as day from ev")
+def ingest_custom_decoder(spark: SparkSession, folder: str) -> DataFrame:
+    """Any function from a line to a record decodes."""
+    lines = events(spark, folder).frame.select(F.concat_ws("/", "day", "event_type"))
+    return loaded(spark, ["index trie event_type", "index string day"], file=text_file(spark, lines), decoder=_swapped).frame
+
+
+@query(f"with {OD} select o_orderkey, o_orderstatus, cast(case when o_orderkey % 2 = 0 then 7 else 0 end as bigint) as late from od")
+def handle_reloaded(spark: SparkSession, folder: str) -> DataFrame:
+    """A handle is dumped and loaded again; rows that are older than a column show its default."""
+    source = orders(spark, folder).frame.select("o_orderkey", "o_orderstatus")
+    held = overrides.get("warehouse")
+    overrides["warehouse"] = scratch_path(spark, "warehouse")
+    try:
+        catalog = Catalog(spark)
+        insert(catalog.create("od", ["index int64 o_orderkey", "trie o_orderstatus"]), spark=spark, frame=source.where("o_orderkey % 2 = 1"))
+        grown = catalog.create("od", ["index int64 o_orderkey", "trie o_orderstatus", "int64 late"], force=True)
+        insert(grown, spark=spark, frame=source.where("o_orderkey % 2 = 0").withColumn("late", F.lit(7)))
+        return Table.loads(catalog.open("od").dumps(), spark).frame
+    finally:
+        overrides["warehouse"] = held
+
+
+@query(f"with {LI} select ship_month, count(*) as n, cast(sum(price_cents) as bigint) as total from li group by ship_month")
+def compacted_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored table after three loads and the consolidation of their files."""
+    source = lineitem(spark, folder)
+    catalog = Catalog(spark, scratch_path(spark, "warehouse"))
+    made = catalog.create("li", fields=source._fields, partition="ship_month")
+    held = overrides.get("warehouse")
+    overrides["warehouse"] = catalog.root
+    try:
+        for n in range(3):
+            insert(made, spark=spark, frame=source.frame.where(F.pmod(F.col("l_orderkey"), F.lit(3)) == n))
+        compact_table(catalog, made)
+    finally:
+        overrides["warehouse"] = held
+    left = catalog.open("li")
+    return select(left.ship_month, h_count().named("n"), h_sum(left.price_cents).named("total"), where=left).frame
+
+
+@query("select * from (values ('index int64 l_orderkey'), ('index string *ship_month'), ('int64 qty')) t(line)")
+def columns_described(spark: SparkSession, folder: str) -> DataFrame:
+    catalog = Catalog(spark, scratch_path(spark, "warehouse"))
+    made = catalog.create("li", ["index int64 l_orderkey", "int64 qty", "index string ship_month"], partition="ship_month")
+    return spark.createDataFrame([(line,) for line in describe(made)], "line string")

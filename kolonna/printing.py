@@ -23,7 +23,7 @@ def _is_number(value: Any) -> bool:
 def cat(result: Iterable[tuple], width: int = 80, header: list[str] | None = None, numeric: list[bool] | None = None, out: TextIO | None = None) -> None:
     """Print rows in columns; numbers (judged by the first row) stand on the right, with thousands separated."""
     out = out or sys.stdout
-    rule = "- - " * (width // 4)
+    rule = "=" * width
     if header:
         cell = max(1, width // len(header))
         sides = numeric or [False] * len(header)

@@ -1,27 +1,37 @@
-"""Settings: defaults, then a YAML file, then overrides of the session, then arguments."""
+"""Settings of a call: what its arguments say, else the session's overrides, else a YAML file, else the defaults."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
+from types import MappingProxyType
 from typing import Any
 
-defaults: dict[str, Any] = {"settings_file": None, "nest": False, "dump": False, "partition": 0, "history_size": 1000, "warehouse": None}
+#: Values of this session, by name.
 overrides: dict[str, Any] = {}
 
 
-class Settings(dict):
-    """A dict of all settings for one call."""
+@dataclass(frozen=True)
+class Settings:
+    """``nest`` and ``dump`` of a query, the folder of the stored tables, the lines of history a console keeps; ``others`` are for the user's own functions."""
 
-    def __init__(self, **arguments: Any) -> None:
-        super().__init__(defaults)
-        path = arguments.get("settings_file") or overrides.get("settings_file") or os.environ.get("KOLONNA_SETTINGS")
-        if path and os.path.exists(path):
-            self.update(_read(path))
-        self.update(overrides)
-        self.update(arguments)
+    nest: bool = False
+    dump: bool = False
+    warehouse: str | None = None
+    history: int = 1000
+    others: Mapping[str, Any] = field(default_factory=lambda: MappingProxyType({}))
 
+    @classmethod
+    def of(cls, settings_file: str | None = None, **arguments: Any) -> Settings:
+        path = settings_file or overrides.get("settings_file") or os.environ.get("KOLONNA_SETTINGS")
+        given = (read(path) if path and os.path.exists(path) else {}) | overrides | arguments
+        known = {f.name for f in fields(cls)} - {"others"}
+        rest = {k: v for k, v in given.items() if k not in known and k != "settings_file"}
+        return cls(**{k: v for k, v in given.items() if k in known}, others=MappingProxyType(rest))
 
-def _read(path: str) -> dict[str, Any]:
+
+def read(path: str) -> dict[str, Any]:
     """The mapping of a settings file: YAML where its library is at hand, else its plain ``key: value`` lines."""
     with open(path) as f:
         text = f.read()
@@ -30,6 +40,6 @@ def _read(path: str) -> dict[str, Any]:
     except ImportError:
         pairs = (line.split("#")[0].partition(":") for line in text.splitlines())
         plain = {"true": True, "false": False, "null": None, "": None}
-        read = {k.strip(): v.strip().strip("'\"") for k, colon, v in pairs if colon}
-        return {k: plain[v.lower()] if v.lower() in plain else int(v) if v.lstrip("-").isdigit() else v for k, v in read.items()}
+        found = {k.strip(): v.strip().strip("'\"") for k, colon, v in pairs if colon}
+        return {k: plain[v.lower()] if v.lower() in plain else int(v) if v.lstrip("-").isdigit() else v for k, v in found.items()}
     return yaml.safe_load(text) or {}

@@ -1,10 +1,11 @@
+import pytest
 import socket
 import struct
 
 from pyspark.sql import functions as F
 
 from kolonna.api import Table, day, ip_aton, ip_ntoa, month, select, year
-from kolonna.functions.sketches import hash_sample, hll_intersection, hll_sketches, jaccard, merge_samples
+from kolonna.functions.sketches import extreme_values, hash_sample, hll_intersection, hll_sketches, jaccard, merge_samples
 
 
 def aton(text):
@@ -43,8 +44,35 @@ def test_sketch_tables(spark):
     assert {r.k: len(r["sample"]) for r in a.collect()} == {0: 100, 1: 100} and all(r["sample"] == sorted(r["sample"], reverse=True) for r in a.collect())
     assert merge_samples(a, [], 100).collect()[0]["sample"] == hash_sample(df, [], "x", 100).collect()[0]["sample"]
     full = hash_sample(df, ["k"], "x", 1000, greatest=False).select(F.col("k"), F.col("sample").alias("s"))
-    pair = full.alias("p").join(full.alias("q")).where("p.k = 0").select(F.col("q.k"), jaccard(F.col("p.s"), F.col("q.s"), 1000, False).alias("j"))
+    pair = full.alias("p").join(full.alias("q")).where("p.k = 0").select(F.col("q.k"), jaccard(F.col("p.s"), F.col("q.s"), capacity=1000, greatest=False).alias("j"))
     assert {r.k: r.j for r in pair.collect()} == {0: 1.0, 1: 0.0}
     both = hll_sketches(df, [], "x").crossJoin(hll_sketches(df.where("x < 300"), [], "x").withColumnRenamed("sketch", "y"))
     got = both.select(hll_intersection(F.col("sketch"), F.col("y")).alias("i")).collect()[0].i
     assert abs(got["count"] - 300) <= 4 * got.error
+
+
+def test_intersections_and_similarities_of_several_sketches(spark):
+    sets = [range(0, 60_000), range(20_000, 80_000), range(10_000, 50_000)]
+    one = None
+    for i, r in enumerate(sets):
+        df = spark.range(r.start, r.stop)
+        part = hll_sketches(df, [], "id").withColumnRenamed("sketch", f"h{i}").crossJoin(hash_sample(df, [], "id", 2000).withColumnRenamed("sample", f"m{i}"))
+        one = part if one is None else one.crossJoin(part)
+    h, m = ([F.col(f"{c}{i}") for i in range(3)] for c in "hm")
+    empty = hll_sketches(spark.range(0), [], "id").withColumnRenamed("sketch", "none")
+    row = one.crossJoin(empty).select(hll_intersection(*h).alias("i"), hll_intersection(h[0], F.col("none")).alias("z"), hll_intersection(h[0]).alias("s"), jaccard(*m, capacity=2000).alias("j"), jaccard(m[0], capacity=2000).alias("one")).collect()[0]
+    unions = [60_000, 60_000, 40_000, 80_000, 60_000, 70_000, 80_000]
+    squares = [(u * 1.04 / 64) ** 2 for u in unions]
+    assert abs(row.i["count"] - 30_000) <= 4 * row.i.error
+    assert abs(row.i.error / sum(squares) ** 0.5 - 1) < 0.1 and abs(row.i.resolution / (7 / sum(1 / s for s in squares)) ** 0.5 - 1) < 0.1
+    assert tuple(row.z) == (0, 0, 0) and abs(row.s["count"] - 60_000) < 4000
+    assert abs(row.j - 30_000 / 80_000) < 5 * (0.375 * 0.625 / 2000) ** 0.5 and row.one == 1.0
+    with pytest.raises(ValueError):
+        hll_intersection()
+
+
+def test_empty_strings_count_in_sketches(spark):
+    df = spark.createDataFrame([("",), (None,), ("a",)], "x string")
+    assert hll_sketches(df, [], "x").select(F.hll_sketch_estimate("sketch")).collect()[0][0] == 2
+    got = extreme_values(df.selectExpr("x", "1 as k"), ["k"], "x", 5).collect()
+    assert [(r.k, r["sample"]) for r in got] == [(1, ["a", ""])]

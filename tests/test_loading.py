@@ -131,9 +131,9 @@ def test_continuous_loading_is_exactly_once(spark, warehouse):
 
 def test_settings(tmp_path):
     path = tmp_path / "s.yaml"
-    path.write_text("nest: true\nhistory_size: 5\n")
-    s = Settings(settings_file=str(path), history_size=7)
-    assert s["nest"] is True and s["history_size"] == 7 and s["dump"] is False
+    path.write_text("nest: true\nhistory: 5\nmine: word\n")
+    s = Settings.of(settings_file=str(path), history=7, other=1)
+    assert s.nest is True and s.history == 7 and s.dump is False and dict(s.others) == {"mine": "word", "other": 1}
 
 
 def test_compaction_of_a_stored_table(spark, warehouse):

@@ -169,3 +169,58 @@ def test_plans_push_down(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint,k:bigint>" in plan
     top = select(t.id, where=t, order_by=0, limit=5).frame._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
+
+
+def test_folds_and_extremes_without_values(spark):
+    t = Table.from_frame("t", spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", None), (None, 5)], "k string, v int"))
+    fold = lambda: Fold("f", t.v, T.LongType(), lambda: 0, lambda acc, v: acc + (v or 0), lambda a, b: a + b)
+    want = [("a", 6, [3, 2], [1, 2], 3), ("b", 0, [], [], 1), (None, 5, [5], [5], 1)]
+    found = select(t.k, fold(), h_nlargest(t.v, 2), h_nsmallest(t.v, 2), h_count(), where=t)  # noqa: F405
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, select(t.k, h_nlargest(t.v, 1), where=t)), key=str) == sorted([(k, v[:1]) for k, _, v, _, _ in want], key=str)  # noqa: F405
+    none = t.v > 100
+    assert [tuple(r) for r in select(fold(), h_nlargest(t.v, 2), where=none)] == [(0, [])]  # noqa: F405
+    plan = select(fold(), where=t).frame._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange" in plan
+
+
+def test_parts_profile_and_purge(spark, capsys):
+    t = Table.from_frame("t", spark.range(1000).selectExpr("id % 50 as k", "id as v"))
+    whole = select(t.k, h_count(), where=t, partition=3)  # noqa: F405
+    assert whole.frame.rdd.getNumPartitions() == 3 and len(list(whole)) == 50
+    ordered = select(t.v, where=t, order_by=0, desc=True, partition=4)
+    assert [r[0] for r in ordered] == list(range(999, -1, -1)) and ordered.frame.rdd.getNumPartitions() <= 4
+    kept = select(t.k, where=t, purge=False, profile=True)
+    assert kept.frame.storageLevel.useMemory and "Physical Plan" in capsys.readouterr().out
+    kept.purge()
+    assert not kept.frame.storageLevel.useMemory
+    for wrong in ({"partition": -1}, {"max_cores": -1}):
+        with pytest.raises(ValueError):
+            select(t.k, where=t, **wrong)
+
+
+def test_nulls_are_neither_in_nor_out(spark):
+    t = Table.from_frame("t", spark.createDataFrame([(1,), (2,), (None,)], "k int"))
+    o = Table.from_frame("o", spark.createDataFrame([(1,), (None,)], "k int"))
+    inner, nothing = select(o.k, where=o), select(o.k, where=o.k > 5)
+    for values in ([1], inner):
+        assert got(t.k, where=t.k << values) == [(1,)] and got(t.k, where=t.k >> values) == [(2,)] and got(t.k, where=~(t.k << values)) == [(2,)]
+        assert got(t.k, where=~((t.k << values) | (t.k == 7))) == [(2,)] and got(t.k, where=~((t.k >> values) & (t.k < 7))) == [(1,)]
+    for values in ([], nothing):
+        assert got(t.k, where=t.k << values) == [] and got(t.k, where=t.k >> values) == [(1,), (2,)] and got(t.k, where=~((t.k << values) | (t.k == 7))) == [(1,), (2,)]
+
+
+def test_history(tmp_path):
+    from kolonna.__main__ import keep_history
+
+    calls = []
+
+    class Lines:
+        set_history_length = staticmethod(lambda n: calls.append(n))
+        read_history_file = staticmethod(lambda p: calls.append(p))
+        write_history_file = staticmethod(lambda p: None)
+
+    keep_history(Lines, str(tmp_path / "h"))
+    (tmp_path / "h").write_text("x")
+    keep_history(Lines, str(tmp_path / "h"))
+    assert calls == [1000, 1000, str(tmp_path / "h")]
