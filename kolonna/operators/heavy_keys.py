@@ -5,7 +5,9 @@ as many partitions as its size asks for. Each partition folds its sorted stream
 touch an end of its partition is complete there; only the first and the last key of a partition can go on elsewhere, and these at
 most two states a partition are stitched together in partition order by one small aggregation.
 
-Before the range shuffle each task combines rows that agree in keys and order, so heavy keys with few order values hardly travel.
+Before the range shuffle each task combines rows that agree in keys and order, so heavy keys with few order values hardly travel. These rows
+are written to the shared folder: their quantiles are sampled there, so the source is read once. So are the partial states, which both
+kinds of keys are taken from.
 
 Defined results: a null key is a key; a row with a null order value counts in ``n_rows`` and the value statistics and in no order
 statistic; null and NaN values are not counted; an empty table gives no rows; ties and repeated rows all count.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from kolonna.runtime import chunks, fold_sorted, free_name, shuffle_partitions
+from kolonna.runtime import chunks, fold_sorted, free_name, materialize, shuffle_partitions
 
 #: Rows that a task holds at once.
 CHUNK = 1 << 19
@@ -152,8 +154,10 @@ def keyed_aggregate(df: DataFrame, keys: list[str], order: str, value: str | Non
         return table.append_column(edge, pa.array(flags)).append_column(place, pa.array(np.full(table.num_rows, here, np.int32))).cast(out).to_batches()
 
     by = [_q(k) for k in keys] + [F.col(first), F.col(tie)]
-    parts = raw.mapInArrow(local, tied).repartitionByRange(partitions or shuffle_partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(fold, placed)
-    # The two branches share the range shuffle; the second carries at most two rows a partition.
+    combined = materialize(raw.mapInArrow(local, tied), "combined")
+    parts = combined.repartitionByRange(partitions or shuffle_partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(fold, placed)
+    parts = materialize(parts, "states")
+    # the second branch carries at most two rows a partition
     inner = parts.where(~F.col(edge)).select(*[_q(k) for k in keys], *names)
     before = F.last(last, ignorenulls=True).over(Window.partitionBy(*[_q(k) for k in keys]).orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
     edges = parts.where(F.col(edge)).withColumn(tie, before)
@@ -172,10 +176,11 @@ def heavy_keys(df: DataFrame, keys: list[str], order: str, share: float, of: lis
     counts = keyed_aggregate(df, keys, order)
     n = counts.columns[len(keys)]
     total = free_name("total_rows", counts.columns)
-    whole = df.groupBy(*[_q(k) for k in of]).agg(F.count(F.lit(1)).alias(total))
-    same = [whole[k].eqNullSafe(counts[k]) for k in of]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
+    # the totals are sums of the counts, so the rows are not read again
+    ends = {k: free_name("of_" + k, [*counts.columns, total]) for k in of}
+    whole = counts.groupBy(*[_q(k).alias(ends[k]) for k in of]).agg(F.sum(_q(n)).alias(total))
+    on = F.lit(True)
+    for k in of:
+        on = on & _q(k).eqNullSafe(_q(ends[k]))
     # at most one row for each combination of ``of``: Spark broadcasts it only below its size threshold
-    return counts.join(whole, on).where(F.col(n) >= F.lit(share) * F.col(total)).select(*[counts[k] for k in keys], counts[n], whole[total])
+    return counts.join(whole, on).where(_q(n) >= F.lit(share) * _q(total)).select(*[_q(k) for k in keys], _q(n), _q(total))
