@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kolonna.runtime import free_name
+from kolonna.runtime import free_name, materialize
 
 BITS, SLICES = 4096, 40
 #: A slice with more than this share of its bits set is saturated (a load of about 1.5).
@@ -71,12 +71,21 @@ def merge_bitmaps_cube(states: DataFrame, keys: list[str], sets: list[list[str]]
     names = states.columns[-4:]
     level, word, mask, rows = names
     gid = free_name("grouping_id", [*keys, *names])
-    cols = [_q(k) for k in keys]
-    return (
-        states.groupingSets([[*[_q(k) for k in s], F.col(level), F.col(word)] for s in sets], *cols, F.col(level), F.col(word))
-        .agg(F.grouping_id().alias(gid), F.bit_or(mask).alias(mask), F.sum(rows).alias(rows))
-        .select(*cols, F.shiftrightunsigned(F.col(gid), 2).alias(gid), level, word, mask, rows)
-    )
+    made: dict[frozenset[str], DataFrame] = {frozenset(keys): materialize(states, "bitmaps")}
+    parts = []
+    for wanted in sorted((list(s) for s in sets), key=len, reverse=True):
+        # from the smallest that is at hand: a coarse grouping never reads the finest rows if one between has been made
+        source = made[min((s for s in made if s >= set(wanted)), key=len)]
+        held = made.get(frozenset(wanted))
+        if held is None:
+            held = made[frozenset(wanted)] = materialize(merge_bitmaps(source, wanted), "bitmaps")
+        number = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in wanted)
+        shown = [_q(k) if k in wanted else F.lit(None).cast(states.schema[k].dataType).alias(k) for k in keys]
+        parts.append(held.select(*shown, F.lit(number).cast("long").alias(gid), level, word, mask, rows))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def distinct_estimates(states: DataFrame, bits: int = BITS) -> DataFrame:

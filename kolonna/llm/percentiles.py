@@ -5,11 +5,12 @@ random offset) moves one level up and the rest is dropped. Sketches merge level
 days or sites can be combined in any order. The rank of a reported percentile differs from the asked one by about
 ``1.7 / k`` of the number of values (99 % of the time; the tests measure it); a group of at most ``k`` values is exact.
 
-Everything runs on whole Arrow batches with all their groups at once; each map task sends one sketch a group, and the merge is a
-fold over a sorted stream, so a group that holds a third of all rows costs a task no more memory than one sketch.
+Everything runs on whole Arrow batches with all their groups at once; each map task sends one sketch a group for every ``CHUNK`` rows.
+Merging is a fold over a sorted stream, first of ``SPREAD`` parts of a group apart, then of these, so a group that holds a third of all
+rows costs a task no more memory than one sketch, and no task reads the sketches of every map task.
 
 Defined results: null and NaN values are not counted; a group of only such values has n = 0 and null percentiles; a null key is a
-key; an empty table gives no rows; percentile q is the value of rank ceil(q * n) (the smallest for q = 0), so it is always a stored value.
+key; an empty table gives no rows; percentile q is the value of rank ceil(q * n) (the smallest for q = 0), so it is always a stored value; the smallest and the largest are exact.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolonna.runtime import chunks, fold_sorted, free_name, group_codes, shuffle_partitions
+from kolonna.runtime import chunks, fold_sorted, free_name, group_codes
 
 #: Size of the top level; see the error bound above.
 K = 1024
@@ -31,6 +32,8 @@ K = 1024
 SHRINK, LEAST = 2 / 3, 8
 #: Rows of input, or items of sketches, that a task holds at once.
 CHUNK = 1 << 19
+#: Parts in which the partial sketches of a group are merged before they are merged together.
+SPREAD = 32
 STATE = ("sketch_n", "sketch_min", "sketch_max", "sketch_items", "sketch_levels")
 
 
@@ -180,15 +183,12 @@ def _merged(states: DataFrame, keys: list[str], names: tuple[str, ...], k: int,
         for table in fold_sorted(batches, lambda t: _merge(t.cast(out), keys, names, k, rng), CHUNK, weigh):
             yield from _as(table, out)
 
-    # Partial sketches of a hot group are first merged in 32 parts, then together: no task reads one sketch of every map task.
-    salt = free_name("salt", schema.names)
-    spread = states.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(32)).cast("int"))
+    salt, by = free_name("salt", schema.names), [F.col(_q(c)) for c in keys]
+    spread = states.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SPREAD)).cast("int"))
+    states = spread.repartition(*by, F.col(salt)).sortWithinPartitions(*by, salt).drop(salt).mapInArrow(fold, schema)
     if not keys:
-        return spread.repartition(32, salt).drop(salt).mapInArrow(fold, schema).coalesce(1).mapInArrow(fold, schema)
-    if states.sparkSession.conf.get("kolonna.percentiles.tree", "auto") == "on" or shuffle_partitions(states.sparkSession) >= 512:
-        by = [F.col(_q(c)) for c in keys]
-        states = spread.repartition(*by, F.col(salt)).sortWithinPartitions(*by, salt).drop(salt).mapInArrow(fold, schema)
-    by = [F.col(_q(c)) for c in keys]
+        # an exchange: the parts are merged where they are
+        return states.repartition(1).mapInArrow(fold, schema)
     return states.repartition(*by).sortWithinPartitions(*by).mapInArrow(fold, schema)
 
 
@@ -226,6 +226,9 @@ def sketch_percentiles(states: DataFrame, probabilities: dict[str, float]) -> Da
             result = [*table.select(keys).columns, pa.array(n)]
             value = value[order]
             for q in asked:
+                if q in (0, 1):  # the ends are kept exactly
+                    result.append(table.column(names[1 if q == 0 else 2]))
+                    continue
                 # float dust must not lift a whole rank: 0.9 * 70 is 63
                 rank = np.clip(np.ceil(np.round(q * n, 6)).astype(np.int64), 1, np.maximum(n, 1))
                 at = np.searchsorted(reach, base + rank, "left")

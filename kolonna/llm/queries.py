@@ -48,6 +48,36 @@ def p1_date_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.sketch_percentiles(whole, {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
+SHARES = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+@query(" union all ".join(f"""
+    select {by} as grouping, {site} as site_id, {date} as date, count(amount) as n, min(amount) as least, max(amount) as most, true as near from pix group by all""" for by, site, date in (("'site_date'", "site_id", "date"), ("'site'", "site_id", "null"), ("'date'", "null", "date"))))
+def p1_rank_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """The percentiles of sites, dates and both, held against the rows: do their ranks lie within three times the bound of those asked?
+
+    A group of up to k values is exact. Next to it the number, the least and the greatest of the values.
+    """
+    rows, fine, parts = table(spark, folder, "pix"), site_date_sketches(spark, folder), []
+    for name, keys in (("site_date", ["site_id", "date"]), ("site", ["site_id"]), ("date", ["date"])):
+        states = fine if len(keys) == 2 else percentiles.merge_sketches(fine, keys)
+        asked = percentiles.sketch_percentiles(states, SHARES | {"least": 0.0, "most": 1.0})
+        values = rows.select(*[F.col(k).alias(f"of_{k}") for k in keys], "amount")
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        ranks = [f(F.when(c, 1)).alias(f"{p}_{end}") for p in SHARES for f, c, end in ((F.count, F.col("amount") < F.col(p), "below"), (F.count, F.col("amount") <= F.col(p), "upto"))]
+        found = asked.join(values, on).groupBy(*keys, "n", "least", "most").agg(*ranks)
+        near = F.lit(True)
+        for p, q in SHARES.items():
+            rank = F.greatest(F.lit(1.0), F.ceil(F.round(F.lit(q) * F.col("n"), 6)).cast("double"))
+            off = F.when(F.col("n") > percentiles.K, F.col("n") * (3 * 1.7 / percentiles.K)).otherwise(0.0)
+            near = near & ((F.col("n") == 0) | ((F.col(f"{p}_below") < rank + off) & (F.col(f"{p}_upto") >= rank - off)))
+        shown = [F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("site_id", "date")]
+        parts.append(found.select(F.lit(name).alias("grouping"), *shown, "n", "least", "most", near.alias("near")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- distinct counts ---------------------------------------------------------------------------------------------------
 
 
@@ -70,6 +100,19 @@ def p2_distinct_cube(spark: SparkSession, folder: str) -> DataFrame:
     return distinct.distinct_estimates(distinct.merge_bitmaps_cube(site_date_bitmaps(spark, folder), ["site_id", "date"], sets))
 
 
+@query("""
+    select grouping(site_id, date) as grouping_id, site_id, date, count(ad_id) as n_rows, count(distinct ad_id) as exact, true as near from impressions group by grouping sets ((site_id, date), (site_id), (date), ())""")
+def p2_cube_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimates of all groupings next to exact counts: within four standard errors (or one)."""
+    keys = ["site_id", "date"]
+    found = p2_distinct_cube(spark, folder).select("site_id", "date", "grouping_id", "n_rows", "n_distinct")
+    rows = table(spark, folder, "impressions").select(*keys, "ad_id").distinct()
+    exact = rows.groupingSets([[F.col("site_id"), F.col("date")], [F.col("site_id")], [F.col("date")], []], "site_id", "date").agg(F.grouping_id().alias("grouping_id"), F.count_distinct("ad_id").alias("exact"))
+    joined = found.join(exact.withColumnsRenamed({k: f"of_{k}" for k in (*keys, "grouping_id")}), F.expr("grouping_id = of_grouping_id and site_id <=> of_site_id and date <=> of_date"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * distinct.error_bound() * F.col("exact"))
+    return joined.select("grouping_id", *keys, "n_rows", "exact", near.alias("near"))
+
+
 # --- overlaps ----------------------------------------------------------------------------------------------------------
 
 AUDIENCE = "site_id <> '' and token <> '' and token <> '0000000000000000'"

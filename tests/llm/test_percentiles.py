@@ -39,7 +39,7 @@ def test_rank_error_of_merged_parts_is_within_the_bound(spark):
     data = pd.DataFrame({"hot": rng.random(n) < 0.7, "day": rng.integers(0, 5, n), "v": (rng.pareto(1.1, n) * 1000).astype("int64")})
     df = spark.createDataFrame(data).repartition(7)
     parts = percentile_sketches(df, ["hot", "day"], "v", k=k)
-    probs = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p999": 0.999}
+    probs = {"low": 0, "high": 1, "p01": 0.01, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p999": 0.999}
     for keys in (["hot", "day"], ["hot"], []):
         out = sketch_percentiles(parts if len(keys) == 2 else merge_sketches(parts, keys, k=k), probs).toPandas()
         for _, r in out.iterrows():
@@ -47,6 +47,7 @@ def test_rank_error_of_merged_parts_is_within_the_bound(spark):
             for key in keys:
                 values = values[data[key] == r[key]]
             assert r["n"] == len(values)
+            assert (r["low"], r["high"]) == (values.min(), values.max())
             for name, q in probs.items():
                 assert rank_error(values, r[name], q) <= 1.7 * 1.5 / k  # 20 groups times 5 percentiles: a margin over the 99 % bound
 
@@ -58,3 +59,9 @@ def test_items_keep_their_weight():
     for i in range(3):
         assert (1 << level[group == i]).sum() == (g == i).sum()
         assert (group == i).sum() < 64 * 3 + 8 * 12
+
+
+def test_without_keys_the_parts_are_merged_before_the_last_task(spark):
+    states = percentile_sketches(spark.range(100), [], "id")
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.count("Exchange") == 2
