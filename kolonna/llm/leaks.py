@@ -6,8 +6,8 @@ where suffixes are still equal. Each suffix of a passage that is at least ``word
 its place those that a match from a word before includes are left out, and comparing on gives the longest verbatim match of the others.
 
 Texts are compared in lower case with every run of characters other than letters and digits as one blank. A document longer than a shard
-is cut into pieces that overlap by the longest passage, and each has an array of its own. Passages lie in the shared folder in blocks of
-bounded size. A task holds one shard with its array and one block, and reads the corpus once, however many blocks there are; hits are
+is cut into pieces that overlap by the longest passage, and each has an array of its own. Passages come in blocks of
+bounded size: a single one is broadcast, more lie in the shared folder. A task holds one shard with its array and one block, and reads the corpus once, however many blocks there are; hits are
 taken up in slices of bounded size, so a formula that all passages and documents share makes a task no larger.
 
 Defined results: null and empty texts, and passages of fewer than ``words`` words, match nothing; passages that share an id are one
@@ -201,9 +201,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     spark = documents.sparkSession
     count, size, largest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(_q(item_text))), F.lit(0)), F.coalesce(F.max(F.octet_length(_q(item_text))), F.lit(0))).collect()[0]
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-    folder = scratch_path(spark, "passages")
-    items.select(_q(item_id).alias("item_id"), _q(item_text).alias("text")).repartition(blocks).write.parquet(folder)
-    files = sorted(Files(spark).files(folder))
+    chosen, files, sent = items.select(_q(item_id).alias("item_id"), _q(item_text).alias("text")), [], None
+    if blocks == 1:
+        sent = spark.sparkContext.broadcast(chosen.toArrow())  # at most BLOCK_ITEMS rows and BLOCK_BYTES of text
+    else:
+        folder = scratch_path(spark, "passages")
+        chosen.repartition(blocks).write.parquet(folder)
+        files = sorted(Files(spark).files(folder))
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("matched_words", T.IntegerType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType())])
     # no passage has more words than every other of its bytes
     shard_bytes, piece_words, overlap = SHARD_BYTES, PIECE_WORDS, largest // 2 + 1
@@ -215,23 +219,24 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
 
         out = to_arrow_schema(schema)
 
-        def blocks_of(kept: dict[str, tuple[pa.Array, Passages]]) -> Iterator[tuple[pa.Array, Passages]]:
-            """Every block; a single one is read and coded once for all shards of the task."""
+        def coded(table: pa.Table) -> tuple[pa.Array, Passages]:
+            names, texts = (table.column(c).combine_chunks() for c in ("item_id", "text"))
+            return names, Passages(texts)
+
+        def blocks_of(single: list[tuple[pa.Array, Passages]]) -> Iterator[tuple[pa.Array, Passages]]:
+            """Every block; a single one is coded once for all shards of the task."""
+            yield from single
             for file in files:
-                if file not in kept:
-                    kept.clear()
-                    fs, at = open_folder(file)
-                    with fs.open_input_file(at) as f:
-                        table = pq.read_table(f)
-                    held = [pa.chunked_array(table.column(c)).combine_chunks() for c in ("item_id", "text")]
-                    kept[file] = held[0], Passages(held[1])
-                yield kept[file]
-
-        kept: dict[str, tuple[pa.Array, Passages]] = {}
+                fs, at = open_folder(file)
+                with fs.open_input_file(at) as f:
+                    table = pq.read_table(f)
+                yield coded(table)
+
+        single = [coded(sent.value)] if sent is not None else []
         for table in (p for c in chunks(batches, shard_bytes, lambda b: b.column(1).nbytes) for p in pieces(c, "text", shard_bytes)):
             shard, docs = None, table.column("doc_id").combine_chunks()
-            for names, passages in blocks_of(kept):
-                shard = shard or Shard(table.column("text").combine_chunks(), words, piece_words, min(overlap, passages.longest) if len(files) == 1 else overlap)
+            for names, passages in blocks_of(single):
+                shard = shard or Shard(table.column("text").combine_chunks(), words, piece_words, overlap)
                 found = shard.find(passages)
                 columns = [docs.take(pa.array(found[0])), names.take(pa.array(found[1])), *(pa.array(x) for x in found[2:])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
