@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import TYPE_CHECKING
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +35,14 @@ def fold_groups(rows: DataFrame, keys: list[str], folds: dict[str, Fold]) -> Dat
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, 1 << 17):
             code, first = group_codes(table, keys)
-            groups, folded = code.tolist(), []
+            # the rows of each group together, in their order
+            order = pa.array(np.argsort(code, kind="stable"))
+            ends = np.cumsum(np.bincount(code, minlength=len(first))).tolist()
+            folded = []
             for value in values:
                 start, fold, _, _ = steps[value]
-                accs = [start() for _ in first]
-                for g, v in zip(groups, table.column(value).to_pylist()):
-                    accs[g] = fold(accs[g], v)
-                folded.append(accs)
+                held = table.column(value).take(order).to_pylist()
+                folded.append([reduce(fold, held[a:b], start()) for a, b in zip([0, *ends[:-1]], ends)])
             yield from pack(table, first, folded).to_batches()
 
     def combine(table: pa.Table) -> pa.Table:
