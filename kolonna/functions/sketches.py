@@ -20,11 +20,11 @@ def _q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def hll_sketches(df: DataFrame, keys: list[str], column: str, log2_registers: int = LOG2_REGISTERS) -> DataFrame:
-    """The keys and ``sketch``: one HyperLogLog sketch of ``column`` a group."""
+def hll_sketches(df: DataFrame, keys: list[str], column: str, log2_registers: int = LOG2_REGISTERS, is_hash: bool = False) -> DataFrame:
+    """The keys and ``sketch``: one HyperLogLog sketch of ``column`` a group. With ``is_hash`` the values are 64-bit hashes already, as by ``xxhash64``."""
     if not 4 <= log2_registers <= 16:
         raise ValueError("log2_registers lies between 4 and 16")
-    return df.groupBy(*[_q(k) for k in keys]).agg(F.hll_sketch_agg(hashed(_q(column)), log2_registers).alias(free_name("sketch", keys)))
+    return df.groupBy(*[_q(k) for k in keys]).agg(F.hll_sketch_agg(_q(column) if is_hash else hashed(_q(column)), log2_registers).alias(free_name("sketch", keys)))
 
 
 def hll_error(count: int, log2_registers: int = LOG2_REGISTERS) -> float:

@@ -74,5 +74,7 @@ def test_intersections_and_similarities_of_several_sketches(spark):
 def test_empty_strings_count_in_sketches(spark):
     df = spark.createDataFrame([("",), (None,), ("a",)], "x string")
     assert hll_sketches(df, [], "x").select(F.hll_sketch_estimate("sketch")).collect()[0][0] == 2
+    plain, given = hll_sketches(df, [], "x"), hll_sketches(df.where("x is not null").select(F.xxhash64("x").alias("h")), [], "h", is_hash=True)
+    assert plain.crossJoin(given.withColumnRenamed("sketch", "other")).select(F.hll_sketch_estimate(F.hll_union("sketch", "other"))).collect()[0][0] == 2
     got = extreme_values(df.selectExpr("x", "1 as k"), ["k"], "x", 5).collect()
     assert [(r.k, r["sample"]) for r in got] == [(1, ["a", ""])]
