@@ -143,16 +143,15 @@ def crowded_pairs(crowded: DataFrame, share: float, needed: Callable[[np.ndarray
     """(a, b) of the sets (s, size, hs) that agree in enough of the crowded values ``hs``."""
     width = float(-np.log(share)) if 0 < share < 1 else 50.0
     classed = crowded.withColumn("c", F.floor(F.log("size") / width + 1e-9).cast("int"))
-    blocks = {r.c: -(-r.n // block_sets) for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not blocks:
-        return crowded.select(F.col("s").alias("a"), F.col("s").alias("b"))
+    classes = classed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_sets)).alias("blocks"))
+    placed = classed.join(classes, "c").select("c", F.pmod(F.xxhash64("s"), "blocks").alias("k"), "s", "size", "hs")
+    blocks = classes.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
     # sets that can reach the share are in one class or in neighbouring ones (two classes on is for rounding)
-    of = F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)])
-    placed = classed.withColumn("k", F.pmod(F.xxhash64("s"), of[F.col("c")]).cast("int"))
-    meets = [(c, i, d, j) for c in blocks for d in (c, c + 1, c + 2) if d in blocks for i in range(blocks[c]) for j in range(blocks[d]) if (c, i) <= (d, j)]
-    ends = [(n, *end, side) for n, (c, i, d, j) in enumerate(meets) for side, end in enumerate(((c, i), (d, j))) if side == 0 or (c, i) != (d, j)]
-    met = placed.sparkSession.createDataFrame(ends, "meeting int, c int, k int, side int")
-    alone = {n for n, (c, i, d, j) in enumerate(meets) if (c, i) == (d, j)}
+    near = blocks.select("c", F.col("k").alias("i"), F.explode(F.array("c", F.col("c") + 1, F.col("c") + 2)).alias("d"))
+    meets = near.join(blocks.select(F.col("c").alias("d"), F.col("k").alias("j")), "d").where("c < d or i <= j")
+    ends = meets.select("c", "i", "d", "j", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("c").alias("of"), F.col("i").alias("k")), F.struct(F.lit(1).alias("side"), F.col("d").alias("of"), F.col("j").alias("k")))).alias("end"))
+    ends = ends.where("end.side = 0 or c < d or i < j").select("c", "i", "d", "j", "end.*")
+    rows = ends.join(placed.withColumnRenamed("c", "of"), ["of", "k"])
 
     def agree(table: pa.Table) -> pa.Table:
         side, s, size = (table.column(c).to_numpy() for c in ("side", "s", "size"))
@@ -160,7 +159,7 @@ def crowded_pairs(crowded: DataFrame, share: float, needed: Callable[[np.ndarray
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         ends, value = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
         left = np.flatnonzero(side == 0)
-        right = left if table.column("meeting")[0].as_py() in alone else np.flatnonzero(side == 1)
+        right = left if all(table.column(x)[0] == table.column(y)[0] for x, y in (("c", "d"), ("i", "j"))) else np.flatnonzero(side == 1)
         place = np.full(len(s), -1)
         place[right] = np.arange(len(right))
         holder = place[np.repeat(np.arange(len(s)), np.diff(ends))]
@@ -177,7 +176,7 @@ def crowded_pairs(crowded: DataFrame, share: float, needed: Callable[[np.ndarray
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": a, "b": b})
 
-    return placed.join(F.broadcast(met), ["c", "k"]).select("meeting", "side", "s", "size", "hs").groupBy("meeting").applyInArrow(agree, "a long, b long")
+    return rows.select("c", "i", "d", "j", "side", "s", "size", "hs").groupBy("c", "i", "d", "j").applyInArrow(agree, "a long, b long")
 
 
 def candidate_pairs(runs: DataFrame, names: DataFrame, share: float, min_size: int, crowd: int = CROWD, block_sets: int = BLOCK_SETS) -> DataFrame:
