@@ -75,16 +75,16 @@ def rows(result) -> DataFrame:
 # --- projection ----------------------------------------------------------------------------------------------------------
 
 
-@query("select * from nation")
+@query("select * from impressions")
 def scan_star(spark: SparkSession, folder: str) -> DataFrame:
-    t = plain(spark, folder, "nation")
+    t = impressions(spark, folder)
     return rows(select(*star(t), where=t))
 
 
-@query("select n_name as nation, n_regionkey as region from nation")
+@query("select site_id as site, cpm_millis as price from impressions")
 def project_alias(spark: SparkSession, folder: str) -> DataFrame:
-    t = plain(spark, folder, "nation")
-    return rows(select(t.n_name.named("nation"), t.n_regionkey.named("region"), where=t))
+    t = impressions(spark, folder)
+    return rows(select(t.site_id.named("site"), t.cpm_millis.named("price"), where=t))
 
 
 @query("select token, site_id, ad_id, date, click from impressions")
@@ -396,16 +396,17 @@ def topk(spark: SparkSession, folder: str) -> DataFrame:
     return rows(select(t.l_orderkey, t.l_linenumber, t.price_cents, where=t, order_by=t.price_cents, desc=True, limit=100))
 
 
-@query("select n_name from nation")
+@query("select s_name from supplier")
 def limit_high(spark: SparkSession, folder: str) -> DataFrame:
-    t = plain(spark, folder, "nation")
-    return rows(select(t.n_name, where=t, order_by="n_name", limit=1000))
+    """A limit above the number of rows gives all of them."""
+    t = plain(spark, folder, "supplier")
+    return rows(select(t.s_name, where=t, order_by="s_name", limit=1_000_000))
 
 
-@query("select n_name from nation")
+@query("select c_name from customer")
 def limit_zero(spark: SparkSession, folder: str) -> DataFrame:
-    t = plain(spark, folder, "nation")
-    return rows(select(t.n_name, where=t, limit=0))
+    t = plain(spark, folder, "customer")
+    return rows(select(t.c_name, where=t, limit=0))
 
 
 @query(f"{WITH} select distinct l_returnflag, l_linestatus, ship_month from li")
@@ -516,10 +517,10 @@ def backwards(values):
     return values.str[::-1]
 
 
-@query("select n_name, reverse(n_name) as back from nation")
+@query("select p_name, reverse(p_name) as back from part")
 def fn_user_defined(spark: SparkSession, folder: str) -> DataFrame:
-    t = plain(spark, folder, "nation")
-    return rows(select(t.n_name, backwards(t.n_name).named("back"), where=t))
+    t = plain(spark, folder, "part")
+    return rows(select(t.p_name, backwards(t.p_name).named("back"), where=t))
 
 
 # --- sketches ------------------------------------------------------------------------------------------------------------
