@@ -1,15 +1,16 @@
 """Consolidation of many tiny files into few well-sized ones, each record exactly once.
 
-1. Inventory: the listing (with its replicas and repeats) gives the files of each partition; the records themselves give the true
-   size of each file, since the listed sizes can be stale or null.
+1. Inventory: the listing (with its replicas and repeats) gives the files of each partition; the stored rows themselves give the
+   size of each file, since the listed sizes can be stale or null. Only their number a file is shuffled.
 2. Schedule: within a partition the files go, longest first, to a fixed number of output groups, each to the least loaded one of a
    heap. Files arrive as a sorted stream, so only the heap is held; a partition with very many files is cut into shards by hash. A
    file above the target size is cut into pieces that are groups of their own.
 3. Stream: each group is sorted by file and record number and streamed through pyarrow into one Parquet file; equal (file, record
-   number) neighbours are written once. A task's every attempt writes under a name of its own.
-4. Verify and publish: every written file is opened again and its row count compared; for each source file the records written must
-   equal those counted in step 1. Only then one rename makes the manifest visible. Readers follow the manifest, so leftovers of
-   failed attempts are never read.
+   number) neighbours are written once. Each carries the number of stored rows it stands for. A task's every attempt writes under a
+   name of its own.
+4. Verify and publish: every written file is opened again and its row count compared; for each source file the stored rows that
+   arrived must equal those counted in step 1. Only then one rename makes the manifest visible. Readers follow the manifest, so
+   leftovers of failed attempts are never read.
 
 Defined results: a listed file without records is in the manifest with 0 records and no output; records of a file that is not listed
 go to a partition of null keys; a file listed under two partitions is stored under the first of them in order and counted under both;
@@ -108,8 +109,8 @@ def compact_records(
     listed = listing.where(_q(file_id).isNotNull()).select(*[_q(k).alias(a) for k, a in zip(keys, renamed)], _q(file_id).alias("file")).distinct()
     rows = records.select(_q(file_id).alias("file"), _q(record_no).alias("rid"), _q(payload).alias("payload"))
 
-    # 1. inventory; counting different record numbers in two steps keeps a single huge file from becoming one task
-    sizes = rows.select("file", "rid").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    # 1. inventory of stored rows, repeats included
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("file").orderBy(*renamed)
     places = listed.withColumn("home", F.row_number().over(first) == 1)
     files = places.join(sizes.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")), "full")
@@ -131,37 +132,37 @@ def compact_records(
     # 3. stream
     small = assignment.count() <= BROADCAST_ROWS
     to = F.broadcast(assignment) if small else assignment
-    placed = rows.mapInArrow(_without_repeats, rows.schema).join(to.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")))
-    placed = placed.select(F.when(F.col("pieces") > 1, F.concat_ws("/", "slot", F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("string"))).otherwise(F.col("slot")).alias("slot"), "file", "rid", "payload")
+    counted = T.StructType([*rows.schema, T.StructField("times", T.LongType())])
+    placed = rows.mapInArrow(_without_repeats, counted).join(to.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")))
+    placed = placed.select(F.when(F.col("pieces") > 1, F.concat_ws("/", "slot", F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("string"))).otherwise(F.col("slot")).alias("slot"), "file", "rid", "payload", "times")
     ordered = placed.repartition(shuffle_partitions(spark), "slot").sortWithinPartitions("slot", "file", "rid", F.desc_nulls_last("payload"))
     Files(spark).make(f"{folder}/data")
     names = (file_id, record_no, payload)
-    written = materialize(ordered.mapInArrow(_writer(f"{folder}/data", names), T.StructType([T.StructField("slot", T.StringType()), T.StructField("path", T.StringType()), T.StructField("file", rows.schema["file"].dataType), T.StructField("written", T.LongType())])), "written")
+    written = materialize(ordered.mapInArrow(_writer(f"{folder}/data", names), T.StructType([T.StructField("slot", T.StringType()), T.StructField("path", T.StringType()), T.StructField("file", rows.schema["file"].dataType), T.StructField("written", T.LongType()), T.StructField("arrived", T.LongType())])), "written")
 
     # 4. verify and publish
-    total = written.groupBy("file").agg(F.sum("written").alias("written"))
-    wrong = sizes_of(files).join(total.withColumnRenamed("file", "g"), F.col("file").eqNullSafe(F.col("g")), "full").where(F.coalesce("n", F.lit(0)) != F.coalesce("written", F.lit(0))).count()
+    total = written.groupBy(F.col("file").alias("g")).agg(F.sum("written").alias("total"), F.sum("arrived").alias("arrived"))
+    homes = files.where("home").select("file", "n")
+    wrong = homes.join(total, F.col("file").eqNullSafe(F.col("g")), "full").where(F.coalesce("n", F.lit(0)) != F.coalesce("arrived", F.lit(0))).count()
     if wrong:
-        raise RuntimeError(f"compaction not published: {wrong} source files differ in their number of records")
-    manifest = files.join(written.withColumnRenamed("file", "g"), F.col("home") & F.col("file").eqNullSafe(F.col("g")), "left")
+        raise RuntimeError(f"compaction not published: of {wrong} source files not all rows arrived")
+    # a file that spans several batches of a task is one row again
+    outputs = written.groupBy("slot", "path", F.col("file").alias("h")).agg(F.sum("written").alias("written"))
+    manifest = files.join(outputs, F.col("home") & F.col("file").eqNullSafe(F.col("h")), "left").join(total.select("g", "total"), ~F.col("home") & F.col("file").eqNullSafe(F.col("g")), "left")
     taken = [*keys, file_id]
     columns = [F.col(a).alias(k) for a, k in zip(renamed, keys)] + [F.col("file").alias(file_id)]
-    columns += [F.when(F.col("home"), F.coalesce("written", F.lit(0))).otherwise(F.col("n")).alias(free_name("n_records", taken)), F.col("home").alias(free_name("stored_here", taken)), F.col("listed").alias(free_name("listed", taken)), F.col("slot").alias(free_name("slot", taken)), F.col("path").alias(free_name("path", taken))]
+    columns += [F.coalesce("written", "total", F.lit(0)).alias(free_name("n_records", taken)), F.col("home").alias(free_name("stored_here", taken)), F.col("listed").alias(free_name("listed", taken)), F.col("slot").alias(free_name("slot", taken)), F.col("path").alias(free_name("path", taken))]
     name = f"manifest-{uuid.uuid4().hex}"
     manifest.select(*columns).write.parquet(f"{folder}/{name}")
     Files(spark).write(f"{folder}/CURRENT", json.dumps({"manifest": name}))
     return Compaction(folder, read_manifest(spark, folder))
 
 
-def sizes_of(files: DataFrame) -> DataFrame:
-    return files.where("home").select("file", "n")
-
-
 def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact repeats within a chunk, so that a record repeated without end does not travel; the rest of the repeats meet in the stream."""
+    """Exact repeats within a chunk as one row with their number, so that a record repeated without end does not travel; the rest of the repeats meet in the stream."""
     for table in chunks(batches, 1 << 17):
         names = table.column_names
-        yield from table.group_by(names, use_threads=False).aggregate([]).select(names).to_batches()
+        yield from table.group_by(names, use_threads=False).aggregate([([], "count_all")]).select([*names, "count_all"]).rename_columns([*names, "times"]).to_batches()
 
 
 def open_folder(folder: str) -> tuple:
@@ -191,10 +192,10 @@ def _writer(folder: str, names: tuple[str, str, str]):
             with fs.open_input_file(state["path"]) as f:
                 found = pq.ParquetFile(f).metadata.num_rows
             files = pa.chunked_array(state["files"]).combine_chunks()
-            counts = np.concatenate(state["counts"])
+            counts, arrived = (np.concatenate(state[k]) for k in ("counts", "arrived"))
             if found != counts.sum():
                 raise RuntimeError(f"{state['path']} holds {found} rows, {counts.sum()} were written")
-            yield pa.RecordBatch.from_arrays([pa.array([state["slot"]] * len(files), pa.string()), pa.array([state["path"]] * len(files), pa.string()), files, pa.array(counts, pa.int64())], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array([state["slot"]] * len(files), pa.string()), pa.array([state["path"]] * len(files), pa.string()), files, pa.array(counts, pa.int64()), pa.array(arrived, pa.int64())], schema=out)
 
         def codes(column: pa.Array) -> np.ndarray:
             return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
@@ -205,8 +206,9 @@ def _writer(folder: str, names: tuple[str, str, str]):
                 continue
             kind = batch.schema
             if out is None:
-                out = pa.schema([("slot", pa.string()), ("path", pa.string()), ("file", kind.field("file").type), ("written", pa.int64())])
+                out = pa.schema([("slot", pa.string()), ("path", pa.string()), ("file", kind.field("file").type), ("written", pa.int64()), ("arrived", pa.int64())])
             slot, file, rid = (codes(batch.column(i)) for i in range(3))
+            times = batch.column(4).to_numpy()
             new_slot = np.r_[True, slot[1:] != slot[:-1]]
             new_file = new_slot | np.r_[True, file[1:] != file[:-1]]
             keep = new_file | np.r_[True, rid[1:] != rid[:-1]]
@@ -221,16 +223,17 @@ def _writer(folder: str, names: tuple[str, str, str]):
                         yield from close()
                     path = f"{root}/{name.replace('/', '_')}-{uuid.uuid4().hex}.parquet"
                     shape = pa.schema([pa.field(n, kind.field(i + 1).type) for i, n in enumerate(names)])
-                    state |= {"slot": name, "path": path, "writer": pq.ParquetWriter(path, shape, filesystem=fs, compression="zstd"), "files": [], "counts": []}
+                    state |= {"slot": name, "path": path, "writer": pq.ParquetWriter(path, shape, filesystem=fs, compression="zstd"), "files": [], "counts": [], "arrived": []}
                 kept = keep[a:b]
                 part = pa.Table.from_batches([batch.slice(a, b - a)]).filter(pa.array(kept))
                 if part.num_rows:
                     state["writer"].write_table(part.select([1, 2, 3]).rename_columns(list(names)))
-                    begin = np.flatnonzero(new_file[a:b])
-                    if not len(begin) or begin[0]:
-                        begin = np.r_[0, begin]
-                    state["files"].append(batch.column(1).take(pa.array(begin + a)))
-                    state["counts"].append(np.add.reduceat(kept.astype(np.int64), begin))
+                begin = np.flatnonzero(new_file[a:b])
+                if not len(begin) or begin[0]:
+                    begin = np.r_[0, begin]
+                state["files"].append(batch.column(1).take(pa.array(begin + a)))
+                state["counts"].append(np.add.reduceat(kept.astype(np.int64), begin))
+                state["arrived"].append(np.add.reduceat(times[a:b], begin))
         if state["slot"] is not None:
             yield from close()
 
