@@ -223,11 +223,12 @@ def _writer(folder: str, names: tuple[str, str, str]):
                         yield from close()
                     path = f"{root}/{name.replace('/', '_')}-{uuid.uuid4().hex}.parquet"
                     shape = pa.schema([pa.field(n, kind.field(i + 1).type) for i, n in enumerate(names)])
-                    state |= {"slot": name, "path": path, "writer": pq.ParquetWriter(path, shape, filesystem=fs, compression="zstd"), "files": [], "counts": [], "arrived": []}
+                    state |= {"slot": name, "path": path, "shape": shape, "writer": pq.ParquetWriter(path, shape, filesystem=fs, compression="zstd"), "files": [], "counts": [], "arrived": []}
                 kept = keep[a:b]
                 part = pa.Table.from_batches([batch.slice(a, b - a)]).filter(pa.array(kept))
                 if part.num_rows:
-                    state["writer"].write_table(part.select([1, 2, 3]).rename_columns(list(names)))
+                    # columns that can not be null come as such
+                    state["writer"].write_table(part.select([1, 2, 3]).rename_columns(list(names)).cast(state["shape"]))
                 begin = np.flatnonzero(new_file[a:b])
                 if not len(begin) or begin[0]:
                     begin = np.r_[0, begin]
