@@ -60,20 +60,9 @@ def _number(part: SparkColumn) -> SparkColumn:
     return F.coalesce(plain, octal, hexed)
 
 
-#: Four decimal parts below 256 without leading zeros: by far the most frequent form.
-_QUAD = r"^(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
-
-
 @column_function(T.LongType())
 def ip_aton(c: SparkColumn) -> SparkColumn:
     """The number of an address of one to four parts, the last of which fills the remaining bytes; 0 if it is none."""
-    quad = F.lit(0).cast("bigint")
-    for i in range(4):
-        quad = quad * 256 + F.coalesce(F.split_part(c, F.lit("."), F.lit(i + 1)).try_cast("bigint"), F.lit(0))
-    return F.when(c.rlike(_QUAD), quad).otherwise(_any_address(c))
-
-
-def _any_address(c: SparkColumn) -> SparkColumn:
     parts = F.split(c, r"\.")
     numbers = [_number(F.get(parts, F.lit(i))) for i in range(4)]
     total = F.lit(None).cast("bigint")
